@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from convlake.llm.common import table
 from convlake.llm.exact_dedup import exact_dedup
 from convlake.llm.line_dedup import line_dedup
+from convlake.llm.ngram_join import ngram_jaccard_join
 from convlake.llm.packing import pack
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
