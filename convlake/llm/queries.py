@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from convlake.llm.common import table
 from convlake.llm.embedding_dedup import embedding_dedup
 from convlake.llm.exact_dedup import exact_dedup
+from convlake.llm.html_extract import extract
 from convlake.llm.line_dedup import line_dedup
 from convlake.llm.ngram_join import ngram_jaccard_join
 from convlake.llm.packing import pack
@@ -25,6 +26,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
