@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlake.llm.common import table
+from convlake.llm.common import store, table
 from convlake.llm.embedding_dedup import embedding_dedup
 from convlake.llm.exact_dedup import exact_dedup
 from convlake.llm.html_extract import extract
+from convlake.llm.license_scan import duckdb_sql as license_sql
+from convlake.llm.license_scan import license_scan
 from convlake.llm.line_dedup import line_dedup
 from convlake.llm.ngram_join import ngram_jaccard_join
 from convlake.llm.packing import pack
 from convlake.llm.quality import quality
+from convlake.llm.sentencepiece_codec import round_trip
+from convlake.llm.token_rollup import TokenRollup, bpe_counts, deleted, inserted, revised, word_counts
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +30,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -34,6 +42,32 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def _rolled_up(spark: SparkSession, sf_dir: str, counts: DataFrame, version: str) -> DataFrame:
+    """Documents come in with a guess of four characters a token, are counted, and those labelled toxic are taken out; that batch comes twice."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    counts = store(counts, "token-counts")
+    guess = docs.select("doc_id", "source", "lang", F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("n_tokens"))
+    guess = store(guess.withColumn("version", F.lit(version)), "token-guesses")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    rollup = TokenRollup(spark)
+    rollup.commit(1, inserted(guess))
+    rollup.commit(2, revised(guess, counts))
+    rollup.compact()
+    for _ in range(2):
+        rollup.commit(3, deleted(counts.join(toxic, "doc_id", "left_semi")))
+    return rollup.totals()
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _rolled_up(spark, sf_dir, bpe_counts(docs), "byte_bpe_50k")
+
+
+def word_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rollup over counts that SQL can state."""
+    return _rolled_up(spark, sf_dir, word_counts(table(spark, sf_dir, "documents")), "words")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -46,8 +80,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    ops = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return ops | {"word_count_rollup": word_count_rollup}
 
 
 OP2 = r"""
@@ -72,5 +111,12 @@ FROM n WINDOW w AS (PARTITION BY norm)
 """
 
 
+WORD_COUNTS = r"""
+SELECT source, lang, 'words' AS version, count(*) AS docs, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS tokens
+FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)
+GROUP BY source, lang
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op9_exact_dedup": OP9}
+    return {"op2_line_dedup": OP2, "op9_exact_dedup": OP9, "op10_license_scan": license_sql(), "word_count_rollup": WORD_COUNTS}
