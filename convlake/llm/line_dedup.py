@@ -116,7 +116,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     hashes = store(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
-    cuts = sorted(set(hashes.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
+    cuts = sorted(set(hashes.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     runs, i = LineRuns(spark, fanout), F.col("doc_id")
     for k in range(len(cuts) + 1):
         low = F.lit(True) if k == 0 else i > cuts[k - 1]
