@@ -1,14 +1,15 @@
 """Embedding near-dedup with an inverted multi-index.
 
 Unit vectors are cut in halves; each half has its own codebook, and the pairs of centroids form a grid of cells. A vector is filed in the
-cell of its nearest centroids. A query walks the cells in the order of their bound (multi-sequence traversal of the two sorted lists of
-centroids) and stops at the first cell that no vector near enough can be in, so that every link is found; a smaller recall can be asked
-for. What lies in the visited cells is compared in double precision.
+cell of its nearest centroids. A query walks the cells in the order of its distance from them (multi-sequence traversal of the two sorted
+lists of centroids) and stops when what is left can hold less than the missing part of the target recall. What lies in the visited cells
+is compared in double precision.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from convlake.llm.common import store
 from convlake.llm.components import components
 
-COSINE = 0.98
+COSINE, RECALL = 0.98, 0.999
 #: Vectors that the codebooks are fitted on, at most about. Every vector is filed and asked, whatever this bound is.
 SAMPLE = 16_384
 #: Vectors of one cell that a task compares at a time with as many others.
@@ -50,23 +51,38 @@ def codebook(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
-def visits(d1: np.ndarray, d2: np.ndarray, reach: float) -> list[tuple[int, int]]:
-    """The cells a query visits, nearest first; d1, d2: its distances from the centroids of either half.
+def slacks(distances: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """For each query how far it is from the region of each centroid: from the plane that parts it from the query's own centroid."""
+    rows, near = np.arange(len(distances)), distances.argmin(1)
+    apart = np.maximum(_distances(book, book)[near], 1e-12)
+    s = np.maximum((distances**2 - (distances[rows, near] ** 2)[:, None]) / (2 * apart), 0)
+    s[rows, near] = 0
+    return s
 
-    If y is within reach of q and filed under centroid c, q is at most 2 x (distance of q and y in this half) further from c than from its
-    own centroid. So y's cell has slack s1^2 + s2^2 <= reach^2, where s is half the difference of those two distances.
+
+def limit_of(cosine: float, recall: float, width: int) -> float:
+    """The squared slack up to which cells are visited.
+
+    A vector within reach of a query can be in a cell only if the squares of the two slacks sum up to reach^2 at most: that is the limit for
+    a recall of 1. A displacement of that length in any direction has a component of variance reach^2 / width along each of the two planes'
+    normals, so the sum exceeds -2 ln(1 - recall) reach^2 / width in no more than 1 - recall of all directions.
     """
-    o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    s1, s2 = ((d[o] - d[o[0]]) / 2 for d, o in ((d1, o1), (d2, o2)))
-    limit = reach**2 + 1e-9
+    reach = max(0.0, 2 - 2 * cosine)
+    return reach if recall >= 1 else min(reach, -2 * math.log(1 - recall) * reach / width)
+
+
+def visits(s1: np.ndarray, s2: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """The cells a query visits, nearest first; s1, s2: its slacks in either half."""
+    o1, o2 = np.argsort(s1, kind="stable").tolist(), np.argsort(s2, kind="stable").tolist()
+    a, b = (s1[o1] ** 2).tolist(), (s2[o2] ** 2).tolist()
     cells, queue, met = [], [(0.0, 0, 0)], {(0, 0)}
-    while queue and queue[0][0] <= limit:
+    while queue and queue[0][0] <= limit + 1e-9:
         _, i, j = heapq.heappop(queue)
-        cells.append((int(o1[i]), int(o2[j])))
+        cells.append((o1[i], o2[j]))
         for n, m in ((i + 1, j), (i, j + 1)):
-            if n < len(s1) and m < len(s2) and (n, m) not in met:
+            if n < len(a) and m < len(b) and (n, m) not in met:
                 met.add((n, m))
-                heapq.heappush(queue, (s1[n] ** 2 + s2[m] ** 2, n, m))
+                heapq.heappush(queue, (a[n] + b[m], n, m))
     return cells
 
 
@@ -75,22 +91,22 @@ def _unit(vectors: list, width: int) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def _filer(books: tuple[np.ndarray, np.ndarray], width: int, reach: float):
-    """(label, rep, vector) to a row for its own cell (side 0) and one for each cell that it visits (side 1)."""
+def _filer(books: tuple[np.ndarray, np.ndarray], width: int, limit: float):
+    """(rep, vector) to a row for its own cell (side 0) and one for each cell that it visits (side 1)."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.iloc[at : at + 2048].reset_index(drop=True)
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
                 one, two = (_distances(h, b) for h, b in zip(_halves(_unit(part["vector"].tolist(), width)), books))
-                own = list(zip(one.argmin(1).tolist(), two.argmin(1).tolist()))
-                rows = [(i, 0, *cell) for i, cell in enumerate(own)]
+                s1, s2 = slacks(one, books[0]), slacks(two, books[1])
+                rows = [(i, 0, int(c1), int(c2)) for i, (c1, c2) in enumerate(zip(one.argmin(1), two.argmin(1)))]
                 for i in range(len(part)):
-                    rows += [(i, 1, *cell) for cell in visits(one[i], two[i], reach)]
-                i, side, c1, c2 = (np.array(x) for x in zip(*rows))
-                yield pd.DataFrame({"label": part["label"].to_numpy()[i], "c1": c1, "c2": c2, "side": side, "rep": part["rep"].to_numpy()[i], "copies": part["copies"].to_numpy()[i], "vector": part["vector"].to_numpy()[i]})
+                    rows += [(i, 1, *cell) for cell in visits(s1[i], s2[i], limit)]
+                i, side, c1, c2 = np.array(rows).T
+                yield pd.DataFrame({"rep": part["rep"].to_numpy()[i], "side": side, "c1": c1, "c2": c2})
 
     return run
 
@@ -128,7 +144,7 @@ def _compare(width: int, cosine: float):
     return run
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, sample: int = SAMPLE, centroids: int | None = None, block: int = BLOCK) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, recall: float = RECALL, sample: int = SAMPLE, centroids: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links (others linked directly), component_id (smallest id that links reach), kept.
 
     Vectors link when their labels are equal and not null and their cosine, in double precision, is at least `cosine`. Equal vectors are
@@ -136,12 +152,12 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nor does one of another width than most; it is kept, as is a row without id (its component is null). Rows that share an id, label and
     vector are copies of each other. An empty table gives an empty result. Only the three named columns are read.
 
-    The codebooks are fitted on about `sample` vectors (a bound), chosen by hash; every vector is filed and every vector is asked. The
-    traversal's bound leaves out no link. Cells are compared in blocks of about `block` rows, so a cell with any number of near copies is
+    The codebooks are fitted on about `sample` vectors (a bound), chosen by hash; every vector is filed and every vector is asked. Each
+    vector finds its links with at least the target recall (1: all of them); the tests measure it against all pairs. Cells are compared in blocks of about `block` rows, so a cell with any number of near copies is
     spread over many tasks, and only counts and links that span a block's components leave a task.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("string").alias("label"))
     good = F.forall("vector", lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)) & F.exists("vector", lambda v: v != 0)
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(good, F.lit(False)))
     widths = usable.groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").first()
@@ -159,10 +175,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         fit = classes.limit(1).select("vector").toPandas()
     k = centroids or int(min(CENTROIDS, max(4, 2 ** round(np.log2(max(1, n / 64)) / 2))))
     books = tuple(codebook(h, k) for h in _halves(_unit(fit["vector"].tolist(), width)))
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-
-    filed = classes.mapInPandas(_filer(books, width, reach), "label string, c1 int, c2 int, side int, rep long, copies long, vector array<double>")
-    filed = store(filed, "filed-vectors")
+    cells = classes.select("rep", "vector").mapInPandas(_filer(books, width, limit_of(cosine, recall, width)), "rep long, side int, c1 int, c2 int")
+    filed = store(cells.join(classes, "rep").select("label", "c1", "c2", "side", "rep", "copies", "vector"), "filed-vectors")
     cell = ["label", "c1", "c2"]
     blocks = filed.groupBy(*cell, "side").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = store(blocks.groupBy(*cell).agg(*(F.coalesce(F.max(F.when(F.col("side") == s, F.col("blocks"))), F.lit(0)).alias(f"blocks{s}") for s in (0, 1))).where("blocks0 > 0 AND blocks1 > 0"), "cell-sizes")

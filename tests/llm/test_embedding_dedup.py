@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from convlake.llm.embedding_dedup import _distances, codebook, embedding_dedup, visits
+from convlake.llm.embedding_dedup import _distances, codebook, embedding_dedup, limit_of, slacks, visits
 from tests.llm.brute import smallest_reachable
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links int"
@@ -36,7 +36,7 @@ def made(seed, n=300):
 
 def test_same_as_all_pairs(spark):
     rows = made(1)
-    got = embedding_dedup(spark.createDataFrame(rows, SCHEMA), centroids=8, block=16).collect()
+    got = embedding_dedup(spark.createDataFrame(rows, SCHEMA), centroids=8, block=16, recall=1.0).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute(rows)
     assert len(got) == len(rows)
 
@@ -45,7 +45,7 @@ def test_group_of_copies_larger_than_a_block(spark):
     rng = random.Random(2)
     base = [rng.gauss(0, 1) for _ in range(6)]
     rows = [(i, [x + rng.gauss(0, 0.01) for x in base] if i % 3 else base, 0, 7) for i in range(200)]
-    got = embedding_dedup(spark.createDataFrame(rows, SCHEMA), block=16).collect()
+    got = embedding_dedup(spark.createDataFrame(rows, SCHEMA), block=16, recall=1.0).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute(rows)
 
 
@@ -61,7 +61,23 @@ def test_traversal_leaves_out_no_near_vector():
     books = codebook(x[:, :4], 16), codebook(x[:, 4:], 16)
     d1, d2 = _distances(x[:, :4], books[0]), _distances(x[:, 4:], books[1])
     own = list(zip(d1.argmin(1), d2.argmin(1)))
+    s1, s2 = slacks(d1, books[0]), slacks(d2, books[1])
     for i in range(60):
-        cells = set(visits(d1[i], d2[i], 0.5))
+        cells = set(visits(s1[i], s2[i], limit_of(0.875, 1.0, 8)))
         near = np.flatnonzero(((x - x[i]) ** 2).sum(1) <= 0.25)
         assert all(own[j] in cells for j in near)
+
+
+def test_recall_against_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(900, 64))
+    copies = base[rng.integers(0, 900, 1500)] + rng.normal(size=(1500, 64)) * rng.uniform(0.05, 0.22, 1500)[:, None]
+    x = np.concatenate([base, copies]).astype(np.float32)
+    label = rng.integers(0, 3, len(x))
+    rows = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup(rows, centroids=24).collect()}
+    x = x.astype(np.float64)
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    links = ((x @ x.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)).sum(1)
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum() and links.sum() > 500
