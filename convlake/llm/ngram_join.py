@@ -5,11 +5,13 @@ k = 2 r (1 - g) / (1 + g) elements. The domain of shingle hashes is cut into n1
 differ in at most k elements, in at least one of the n1 parts they differ in at most k2 of the n2 smaller parts, as n1 (k2 + 1) > k. So a
 signature for each part and each way to leave out k2 of its smaller parts makes sure that two such sets share one. Bands of sizes keep r
 close to the sizes of the sets.
+
+Sets that share a signature are compared first by a sketch: the parities of how many elements fall in each of 512 buckets. Every element
+that only one of two sets has changes one parity, so sets whose sketches differ in more than k places are certainly too far apart.
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
@@ -22,7 +24,10 @@ from convlake.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: The largest size of a band over its smallest, the smaller parts of a part, and how many of those a signature leaves out.
-BAND, SMALLER, LEFT_OUT = 1.5, 2, 1
+BAND, SMALLER, LEFT_OUT = 1.5, 3, 1
+#: Sets that differ in at most so few elements have one part only, cut in FEW_PARTS.
+FEW, FEW_PARTS = 3, 6
+SKETCH = 8  # numbers of 64 bits
 
 _M = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
@@ -30,6 +35,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_KEPT: dict = {}  # what a task has worked out already
 
 
 def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -40,9 +46,10 @@ def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(1)
 def _powers(n: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE))])
+    if len(_KEPT.get("powers", ())) < n:
+        _KEPT["powers"] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE))])
+    return _KEPT["powers"]
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -69,18 +76,20 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(gram)
 
 
-@functools.lru_cache(1)
-def _bands(percent: int, band: float, smaller: int, left_out: int, largest: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """The first sizes of the bands, and for each (n1, n2, k2, largest size)."""
+def _bands(percent: int, band: float, smaller: int, left_out: int, largest: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The first sizes of the bands, and for each (n1, n2, k2)."""
+    key = (percent, band, smaller, left_out, largest)
+    if key in _KEPT:
+        return _KEPT[key]
     firsts, plans, low = [], [], 1
     while low <= largest:
         high = max(low, int(low * band))
         k = 2 * high * (100 - percent) // (100 + percent)
-        n1 = -(-(k + 1) // (left_out + 1))
-        plans.append((n1, smaller, left_out, high) if k else (1, 1, 0, high))
+        plans.append((1, 1, 0) if not k else (1, FEW_PARTS, k) if k <= FEW else (-(-(k + 1) // (left_out + 1)), smaller, left_out))
         firsts.append(low)
         low = high + 1
-    return np.array(firsts), plans
+    _KEPT[key] = np.array(firsts), plans
+    return _KEPT[key]
 
 
 def signatures(grams: np.ndarray, percent: int, band: float = BAND, smaller: int = SMALLER, left_out: int = LEFT_OUT) -> np.ndarray:
@@ -96,7 +105,7 @@ def signatures(grams: np.ndarray, percent: int, band: float = BAND, smaller: int
     for j in (own, own + 1):
         if j > own and size * 100 // percent < firsts[j]:
             break
-        n1, n2, k2, _ = plans[j]
+        n1, n2, k2 = plans[j]
         edges = np.searchsorted(high, (np.arange(n1 * n2 + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n1 * n2))
         sums = (running[edges[1:]] - running[edges[:-1]]).reshape(n1, n2)
         part = np.arange(n1, dtype=np.uint64)
@@ -106,6 +115,12 @@ def signatures(grams: np.ndarray, percent: int, band: float = BAND, smaller: int
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements in 64 x SKETCH buckets."""
+    odd = np.bincount((_mix(grams, 9) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(words: int, percent: int, band: float, smaller: int, left_out: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -113,13 +128,14 @@ def _sets(words: int, percent: int, band: float, smaller: int, left_out: int):
         for batch in batches:
             texts = batch.column(1)
             for start in range(0, len(texts), 256):
-                size, one, two, sigs = [], [], [], []
+                size, one, two, sigs, odd = [], [], [], [], []
                 for text in texts[start : start + 256]:
                     grams = shingles(text.as_py(), words)
                     size.append(len(grams))
                     one.append(int(_mix(grams, 1).sum(dtype=np.uint64)))
                     two.append(int(_mix(grams, 2).sum(dtype=np.uint64)))
                     sigs.append(signatures(grams, percent, band, smaller, left_out))
+                    odd.append(sketch(grams))
                 offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -128,8 +144,9 @@ def _sets(words: int, percent: int, band: float, smaller: int, left_out: int):
                         pa.array(np.array(one, np.uint64).view(np.int64)),
                         pa.array(np.array(two, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs))),
+                        *map(pa.array, np.stack(odd, 1)),
                     ],
-                    names=["doc_id", "n", "s1", "s2", "sigs"],
+                    names=["doc_id", "n", "s1", "s2", "sigs", *(f"p{i}" for i in range(SKETCH))],
                 )
 
     return run
@@ -155,8 +172,22 @@ def _verifier(words: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _sketched(sketches: DataFrame, side: str) -> DataFrame:
+    """The sketches with all columns renamed for one side of a pair."""
+    return sketches.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *(f"p{i}" for i in range(SKETCH)))))
+
+
+def _near(percent: int):
+    """Whether the sketches of sides a and b leave it open that the sets are similar enough."""
+    differ = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(SKETCH)), F.lit(0))
+    sizes = F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")
+    return sizes & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those that are similar enough, by their whole texts."""
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = store(rows.join(ends, "doc_id"), "candidate-texts")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
     full = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
@@ -178,7 +209,7 @@ def ngram_jaccard_join(
     document, linked by any of their texts. Only the two named columns are read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = store(rows.mapInArrow(_sets(words, percent, band, smaller, left_out), "doc_id long, n long, s1 long, s2 long, sigs array<long>"), "shingle-sets")
+    sets = store(rows.mapInArrow(_sets(words, percent, band, smaller, left_out), "doc_id long, n long, s1 long, s2 long, sigs array<long>, " + ", ".join(f"p{i} long" for i in range(SKETCH))), "shingle-sets")
     classes = store(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id")), "shingle-classes")
 
     heads = sets.select("doc_id", "s1", "s2", "sigs").join(classes.select(F.col("class_id").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"])
@@ -186,20 +217,21 @@ def ngram_jaccard_join(
     groups = signed.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("most")).where("lead < most").select("sig", "lead")
     grouped = store(signed.join(groups, "sig").where("doc_id > lead"), "signature-groups")
 
-    starred = store(grouped.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidate-pairs")
-    ends = starred.select(F.col("a").alias("doc_id")).unionByName(starred.select(F.col("b").alias("doc_id"))).distinct()
-    texts = store(rows.join(ends, "doc_id"), "candidate-texts")
-    links = store(_verified(starred, texts, words, percent), "verified-links")
+    sketches = store(sets.join(classes.select(F.col("class_id").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).select("doc_id", "n", *(f"p{i}" for i in range(SKETCH))).dropDuplicates(["doc_id"]), "shingle-sketches")
+    starred = grouped.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct().join(_sketched(sketches, "a"), "a").join(_sketched(sketches, "b"), "b").where(_near(percent))
+    starred = store(starred.select("a", "b"), "candidate-pairs")
+    links = store(_verified(starred, rows, words, percent), "verified-links")
     found = store(components(links), "components")
 
     labelled = grouped.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     torn = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
     open_ = store(labelled.join(torn, "sig"), "open-groups")
-    left = open_.select("sig", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    right = open_.select("sig", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    more = store(left.join(right, "sig").where("a < b AND ca <> cb").select("a", "b").distinct().join(starred, ["a", "b"], "left_anti"), "open-pairs")
+    left = open_.select("sig", F.col("doc_id").alias("a"), F.col("component").alias("ca")).join(_sketched(sketches, "a"), "a")
+    right = open_.select("sig", F.col("doc_id").alias("b"), F.col("component").alias("cb")).join(_sketched(sketches, "b"), "b")
+    paired = left.join(right, (left["sig"] == right["sig"]) & F.expr("a < b AND ca <> cb") & _near(percent))
+    more = store(paired.select("a", "b").distinct().join(starred, ["a", "b"], "left_anti"), "open-pairs")
     if not more.isEmpty():
-        links = links.unionByName(store(_verified(more, texts, words, percent), "verified-links"))
+        links = links.unionByName(store(_verified(more, rows, words, percent), "verified-links"))
         found = store(components(links), "components")
 
     classed = sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
