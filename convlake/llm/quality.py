@@ -32,9 +32,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _grams(items: np.ndarray, n: int, kind: int) -> np.ndarray:
-    total = np.full(max(0, len(items) - n + 1), np.uint64(kind * 16 + n))
+    count = max(0, len(items) - n + 1)
+    total = np.full(count, np.uint64(kind * 16 + n))
     for i in range(n):
-        total = total * _BASE + items[i : len(items) - n + 1 + i]
+        total = total * _BASE + items[i : i + count]
     return _mix(total) & np.uint64(DIMENSIONS - 1)
 
 
