@@ -135,7 +135,7 @@ def size_text(text: Column) -> Column:
     """Lines and UTF-8 bytes of an output."""
     n = F.octet_length(F.coalesce(text, F.lit("")))
     count = F.size(lines(text)) - F.when(F.coalesce(text, F.lit("")).endswith("\n") | (F.coalesce(text, F.lit("")) == ""), 1).otherwise(0)
-    return F.concat(count.cast("string"), F.lit(" lines/"), F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB"))))
+    return F.concat(count.cast("string"), F.lit(" lines/"), F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(F.format_string("%.1f", F.bround(n / 1024, 1)), F.lit(" KB"))))
 
 
 def pinned(text: Column) -> Column:

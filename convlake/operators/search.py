@@ -16,6 +16,14 @@ WINDOW, STEP = 700, 550
 FUSION_K = 30
 
 
+def equal_to(word: str):
+    return lambda t: t == word
+
+
+def of_term(word: str):
+    return lambda h: h["term"] == word
+
+
 def query_words(query: str, most: int = 16) -> list[str]:
     """Different words of a query that are longer than one character, without stop words unless nothing else is left."""
     import re
@@ -29,7 +37,7 @@ def query_words(query: str, most: int = 16) -> list[str]:
 def term_counts(pieces: DataFrame, wanted: list[str], content: str = "content", toks: Column | None = None) -> DataFrame:
     """pieces with dl (terms of the text) and hits: an array of (term, f) for the wanted terms that occur."""
     toks = terms(F.col(content)) if toks is None else toks
-    counted = F.array(*(F.struct(F.lit(w).alias("term"), F.size(F.filter("toks", lambda t, w=w: t == w)).alias("f")) for w in wanted))
+    counted = F.array(*(F.struct(F.lit(w).alias("term"), F.size(F.filter("toks", equal_to(w))).alias("f")) for w in wanted))
     return pieces.withColumn("toks", toks).withColumn("dl", F.size("toks")).withColumn("hits", F.filter(counted, lambda h: h["f"] > 0))
 
 
@@ -40,7 +48,7 @@ def bm25(pieces: DataFrame, wanted: list[str], content: str = "content", where:
     the terms' frequencies are those of all pieces; `where` filters the hits afterwards.
     """
     counted = term_counts(pieces, wanted, content, toks)
-    stats = counted.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"), *(F.count_if(F.exists("hits", lambda h, w=w: h["term"] == w)).alias(f"df{i}") for i, w in enumerate(wanted)))
+    stats = counted.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"), *(F.count_if(F.exists("hits", of_term(w))).alias(f"df{i}") for i, w in enumerate(wanted)))
     idf = F.create_map(*(x for i, w in enumerate(wanted) for x in (F.lit(w), F.greatest(F.log((F.col("n_all") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(LEAST_IDF)))))
     hits = counted.where(F.size("hits") > 0)
     if where is not None:
