@@ -73,6 +73,11 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: t.rlike("[0-9]") | t.rlike("[A-Za-z0-9][_./-][A-Za-z0-9]") | t.rlike("[a-z][A-Z]")))
 
 
+def strip(text: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.btrim(text, F.lit(" \t\r\n\x0b\x0c"))
+
+
 def squeeze(text: Column, most: int) -> Column:
     """White space runs as one space, at most so many characters, with an ellipsis where it is cut."""
     t = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
@@ -120,7 +125,7 @@ def lines(text: Column) -> Column:
 
 
 def full_lines(text: Column) -> Column:
-    return F.filter(F.transform(lines(text), lambda x: F.btrim(x)), lambda x: x != "")
+    return F.filter(F.transform(lines(text), strip), lambda x: x != "")
 
 
 def last_line(text: Column, most: int = 200) -> Column:
@@ -143,7 +148,7 @@ def pinned(text: Column) -> Column:
     blocks = F.regexp_extract_all(text, F.lit(r"(?si)\[\[importante\]\](.*?)\[\[/importante\]\]"), F.lit(1))
     rest = F.regexp_replace(text, r"(?si)\[\[importante\]\].*?\[\[/importante\]\]", "")
     found = F.concat(blocks, F.regexp_extract_all(rest, F.lit("(?m)^[ \\t]*(?:\U0001f4cc|!!)[ \\t]*(.+)$"), F.lit(1)))
-    return F.filter(F.transform(found, lambda x: F.btrim(x)), lambda x: x != "")
+    return F.filter(F.transform(found, strip), lambda x: x != "")
 
 
 def disposable(text: Column) -> Column:

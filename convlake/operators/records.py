@@ -84,33 +84,62 @@ def _sections(lines: list[str], starts) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, [*at[1:], len(lines)])]
 
 
-def _parse(text: str) -> tuple[str, list[tuple[int, int]]]:
-    import ast
+def _json(text: str, lines: list[str]) -> list[tuple[int, int]]:
     import json
-    import re
-    import tomllib
+
+    if text.lstrip()[:1] not in ("{", "["):
+        return []
+    json.loads(text)
+    return [(i, 1) for i, x in enumerate(lines) if x.strip().strip("{}[],")]
+
+
+def _xml(text: str, lines: list[str]) -> list[tuple[int, int]]:
     from xml.etree import ElementTree
 
+    if text.lstrip()[:1] != "<" or "<!ENTITY" in text:
+        return []
+    ElementTree.fromstring(text)
+    return [(i, 1) for i, x in enumerate(lines) if "<" in x]
+
+
+def _toml(text: str, lines: list[str]) -> list[tuple[int, int]]:
+    import tomllib
+
+    found = _sections(lines, lambda x: x.startswith("["))
+    if len(found) > 1:
+        tomllib.loads(text)
+    return found if len(found) > 1 else []
+
+
+def _gitlog(text: str, lines: list[str]) -> list[tuple[int, int]]:
+    import re
+
+    found = _sections(lines, lambda x: re.match(r"commit [0-9a-f]{7,40}\b", x))
+    return found if len(found) > 1 and found[0][0] == 0 else []
+
+
+def _diff(text: str, lines: list[str]) -> list[tuple[int, int]]:
+    return _sections(lines, lambda x: x.startswith("@@ ")) if lines[0].startswith(("diff ", "--- ")) else []
+
+
+def _python(text: str, lines: list[str]) -> list[tuple[int, int]]:
+    import ast
+
+    found = [x for x in ast.walk(ast.parse(text)) if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    return sorted((x.lineno - 1, x.end_lineno - x.lineno + 1) for x in found)
+
+
+FORMATS = {"json": _json, "xml": _xml, "toml": _toml, "gitlog": _gitlog, "diff": _diff, "python": _python}
+
+
+def _parse(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """The first format that has records and no doubt about it."""
     lines = text.split("\n")
-    head = text.lstrip()
-    if len(text) > MAX_CHARS or len(lines) < 3:
-        return "", []
-    try:
-        if head[:1] in "{[" and head:
-            json.loads(text)
-            return "json", [(i, 1) for i, x in enumerate(lines) if x.strip().strip("{}[],")]
-        if head[:1] == "<":
-            ElementTree.fromstring(text)
-            return "xml", [(i, 1) for i, x in enumerate(lines) if x.count("<") and x.strip()]
-        if sum(x.startswith("[") for x in lines) >= 2:
-            tomllib.loads(text)
-            return "toml", _sections(lines, lambda x: x.startswith("["))
-        if lines[0].startswith("commit ") and (found := _sections(lines, lambda x: re.match(r"commit [0-9a-f]{7,40}\b", x))) and len(found) > 1:
-            return "gitlog", found
-        if any(x.startswith("@@ ") for x in lines) and lines[0].startswith(("diff ", "--- ")):
-            return "diff", _sections(lines, lambda x: x.startswith("@@ "))
-        tree = ast.parse(text)
-        found = [(x.lineno - 1, x.end_lineno - x.lineno + 1) for x in ast.walk(tree) if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
-        return "python", sorted(found)
-    except (ValueError, SyntaxError, RecursionError, MemoryError, ElementTree.ParseError):
-        return "", []
+    if len(text) <= MAX_CHARS and len(lines) >= 3:
+        for name, units in FORMATS.items():
+            try:
+                if found := units(text, lines):
+                    return name, found
+            except (ValueError, SyntaxError, RecursionError, MemoryError):
+                continue  # not of this format
+    return "", []
