@@ -190,3 +190,21 @@ def test_journal_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == events.count()
     journal.drain(journal.per_hour(journal.tail(spark, f"{tmp_path}/in"), "400 days"), f"{tmp_path}/c2", f"{tmp_path}/hours")
     assert spark.read.parquet(f"{tmp_path}/hours").count() == 0  # nothing is older than the watermark yet
+
+
+def test_stateful_totals_equal_batch(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    for k in range(2):
+        events.where(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = {}
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = journal.latest_total(journal.tail(spark, f"{tmp_path}/in"))
+        sink = lambda df, _: got.update({r.user_id: (r.n_keys, round(r.total, 4)) for r in df.collect()})
+        stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c").foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    last = events.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("v"))
+    assert got == {r.user_id: (r.n, round(r.t, 4)) for r in last.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("v").alias("t")).collect()}
