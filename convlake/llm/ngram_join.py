@@ -6,6 +6,10 @@ differ in at most k elements, in at least one of the n1 parts they differ in at
 signature for each part and each way to leave out k2 of its smaller parts makes sure that two such sets share one. Bands of sizes keep r
 close to the sizes of the sets.
 
+A signature over parts in which a set has no elements says nothing, and every set of a band may share it. So where signatures are over few
+elements there are some more parts than needed: at least so many more agree, and a set that has empty signatures in no more parts than that
+can leave those out.
+
 Sets that share a signature are compared first by a sketch: the parities of how many elements fall in each of 512 buckets. Every element
 that only one of two sets has changes one parity, so sets whose sketches differ in more than k places are certainly too far apart.
 """
@@ -27,6 +31,12 @@ WORDS, PERCENT = 5, 80
 BAND, SMALLER, LEFT_OUT = 1.5, 3, 1
 #: Sets that differ in at most so few elements have one part only, cut in FEW_PARTS.
 FEW, FEW_PARTS = 3, 6
+#: Parts beyond those needed, as a share of them, where there are MANY parts and a signature is over less than SPARSE elements.
+SPARE, MANY, SPARSE = 0.12, 8, 10
+#: Bits of the signatures that are exchanged; BITS_OVER more than the number of all shingles needs, so that chance meetings are rare.
+BITS_OVER = 12
+#: Ids up to this number (8 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 SKETCH = 8  # numbers of 64 bits
 
 _M = (1 << 64) - 1
@@ -76,8 +86,8 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(gram)
 
 
-def _bands(percent: int, band: float, smaller: int, left_out: int, largest: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The first sizes of the bands, and for each (n1, n2, k2)."""
+def _bands(percent: int, band: float, smaller: int, left_out: int, largest: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """The first sizes of the bands, and for each (n1, n2, k2, parts beyond those needed)."""
     key = (percent, band, smaller, left_out, largest)
     if key in _KEPT:
         return _KEPT[key]
@@ -85,7 +95,9 @@ def _bands(percent: int, band: float, smaller: int, left_out: int, largest: int)
     while low <= largest:
         high = max(low, int(low * band))
         k = 2 * high * (100 - percent) // (100 + percent)
-        plans.append((1, 1, 0) if not k else (1, FEW_PARTS, k) if k <= FEW else (-(-(k + 1) // (left_out + 1)), smaller, left_out))
+        n1 = -(-(k + 1) // (left_out + 1))
+        spare = int(SPARE * n1) + 2 if n1 >= MANY and high * (smaller - left_out) < SPARSE * n1 * smaller else 0
+        plans.append((1, 1, 0, 0) if not k else (1, FEW_PARTS, k, 0) if k <= FEW else (n1 + spare, smaller, left_out, spare))
         firsts.append(low)
         low = high + 1
     _KEPT[key] = np.array(firsts), plans
@@ -105,13 +117,17 @@ def signatures(grams: np.ndarray, percent: int, band: float = BAND, smaller: int
     for j in (own, own + 1):
         if j > own and size * 100 // percent < firsts[j]:
             break
-        n1, n2, k2 = plans[j]
+        n1, n2, k2, spare = plans[j]
         edges = np.searchsorted(high, (np.arange(n1 * n2 + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n1 * n2))
         sums = (running[edges[1:]] - running[edges[:-1]]).reshape(n1, n2)
-        part = np.arange(n1, dtype=np.uint64)
-        for way, kept in enumerate(itertools.combinations(range(n2), n2 - k2)):
-            total = sums[:, list(kept)].sum(1, dtype=np.uint64)
-            out.append(_mix(_mix(total, 11 + way) + part * _BASE, j))
+        counts = np.diff(edges).reshape(n1, n2)
+        part, ways = np.arange(n1, dtype=np.uint64), [list(kept) for kept in itertools.combinations(range(n2), n2 - k2)]
+        empty = np.stack([counts[:, kept].sum(1) == 0 for kept in ways])
+        if empty.any(0).sum() > spare:
+            empty[:] = False
+        for way, kept in enumerate(ways):
+            total = sums[:, kept].sum(1, dtype=np.uint64)
+            out.append(_mix(_mix(total, 11 + way) + part * _BASE, j)[~empty[way]])
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -121,37 +137,52 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _sets(words: int, percent: int, band: float, smaller: int, left_out: int):
+def _sets(words: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(len(g), int(_mix(g, 1).sum(dtype=np.uint64)), int(_mix(g, 2).sum(dtype=np.uint64)), sketch(g)) for g in (shingles(t.as_py(), words) for t in batch.column(1))]
+            size, one, two, odd = zip(*rows) if rows else ((), (), (), ())
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
+            parities = map(pa.array, np.stack(odd, 1) if rows else np.empty((SKETCH, 0), np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *hashes, *parities], names=["doc_id", "n", "s1", "s2", *(f"p{i}" for i in range(SKETCH))])
+
+    return run
+
+
+def _signer(words: int, percent: int, band: float, smaller: int, left_out: int, bits: int):
+    """A row (sig, doc_id) for each different signature of a document, cut to so many bits."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def rows() -> pa.RecordBatch:
+            names = np.repeat(np.array(keys, np.int64), [len(x) for x in held])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(names)], names=["sig", "doc_id"])
+
+        keys, held, n = [], [], 0
         for batch in batches:
-            texts = batch.column(1)
-            for start in range(0, len(texts), 256):
-                size, one, two, sigs, odd = [], [], [], [], []
-                for text in texts[start : start + 256]:
-                    grams = shingles(text.as_py(), words)
-                    size.append(len(grams))
-                    one.append(int(_mix(grams, 1).sum(dtype=np.uint64)))
-                    two.append(int(_mix(grams, 2).sum(dtype=np.uint64)))
-                    sigs.append(signatures(grams, percent, band, smaller, left_out))
-                    odd.append(sketch(grams))
-                offsets = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[start : start + 256],
-                        pa.array(size, pa.int64()),
-                        pa.array(np.array(one, np.uint64).view(np.int64)),
-                        pa.array(np.array(two, np.uint64).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs))),
-                        *map(pa.array, np.stack(odd, 1)),
-                    ],
-                    names=["doc_id", "n", "s1", "s2", "sigs", *(f"p{i}" for i in range(SKETCH))],
-                )
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sigs = signatures(shingles(text.as_py(), words), percent, band, smaller, left_out).view(np.uint64) >> np.uint64(64 - bits)
+                keys.append(key)
+                held.append(np.unique(sigs).view(np.int64))
+                n += len(sigs)
+                if n >= 100_000:
+                    yield rows()
+                    keys, held, n = [], [], 0
+        if n:
+            yield rows()
 
     return run
 
 
+def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """rows whose doc_id is among ids (left_semi) or is not (left_anti); a small number of ids spares the shuffle of the texts."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
 def _verifier(words: int, percent: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -187,7 +218,7 @@ def _near(percent: int):
 def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those that are similar enough, by their whole texts."""
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = store(rows.join(ends, "doc_id"), "candidate-texts")
+    texts = store(_among(rows, store(ends, "candidate-ids"), "left_semi"), "candidate-texts")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
     full = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
@@ -209,13 +240,19 @@ def ngram_jaccard_join(
     document, linked by any of their texts. Only the two named columns are read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = store(rows.mapInArrow(_sets(words, percent, band, smaller, left_out), "doc_id long, n long, s1 long, s2 long, sigs array<long>, " + ", ".join(f"p{i} long" for i in range(SKETCH))), "shingle-sets")
-    classes = store(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id")), "shingle-classes")
-
-    heads = sets.select("doc_id", "s1", "s2", "sigs").join(classes.select(F.col("class_id").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"])
-    signed = heads.select("doc_id", F.explode("sigs").alias("sig"))
-    groups = signed.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("most")).where("lead < most").select("sig", "lead")
-    grouped = store(signed.join(groups, "sig").where("doc_id > lead"), "signature-groups")
+    sets = store(rows.mapInArrow(_sets(words), "doc_id long, n long, s1 long, s2 long, " + ", ".join(f"p{i} long" for i in range(SKETCH))), "shingle-sets")
+    classes = store(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "shingle-classes")
+    heads = store(classes.select(F.col("class_id").alias("doc_id")).distinct(), "class-heads")
+    copies = sets.where("n > 0").join(classes.where("copies > 1"), ["s1", "s2"]).where("doc_id <> class_id").select("doc_id").distinct().join(heads, "doc_id", "left_anti")
+
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(63, int(total).bit_length() + BITS_OVER)
+    first = _among(rows.where(F.col("doc_id").isNotNull()), store(copies, "class-copies"), "left_anti")
+    signed = first.mapInArrow(_signer(words, percent, band, smaller, left_out, bits), "sig long, doc_id long")
+    met = signed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
+    together = store(signed.join(met, "sig"), "signatures-met")
+    lead = together.groupBy("sig").agg(F.min("doc_id").alias("lead"))
+    grouped = store(together.join(lead, "sig").where("doc_id > lead"), "signature-groups")
 
     sketches = store(sets.join(classes.select(F.col("class_id").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).select("doc_id", "n", *(f"p{i}" for i in range(SKETCH))).dropDuplicates(["doc_id"]), "shingle-sketches")
     starred = grouped.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct().join(_sketched(sketches, "a"), "a").join(_sketched(sketches, "b"), "b").where(_near(percent))
