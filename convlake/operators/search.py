@@ -38,7 +38,9 @@ def term_counts(pieces: DataFrame, wanted: list[str], content: str = "content",
     """pieces with dl (terms of the text) and hits: an array of (term, f) for the wanted terms that occur."""
     toks = terms(F.col(content)) if toks is None else toks
     counted = F.array(*(F.struct(F.lit(w).alias("term"), F.size(F.filter("toks", equal_to(w))).alias("f")) for w in wanted))
-    return pieces.withColumn("toks", toks).withColumn("dl", F.size("toks")).withColumn("hits", F.filter(counted, lambda h: h["f"] > 0))
+    # exploding one element keeps the optimizer from writing the tokenizer into every use of its result
+    cut = pieces.withColumn("toks", F.explode(F.array(toks)))
+    return cut.withColumn("dl", F.size("toks")).withColumn("hits", F.explode(F.array(F.filter(counted, lambda h: h["f"] > 0))))
 
 
 def bm25(pieces: DataFrame, wanted: list[str], content: str = "content", where: Column | None = None, toks: Column | None = None) -> DataFrame:
