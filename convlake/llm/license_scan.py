@@ -49,14 +49,33 @@ SENTENCES = {
     33: "spdx license identifier apache 2 0",
     34: "spdx license identifier gpl 3 0 or later",
     35: "spdx license identifier bsd 3 clause",
+    # The pieces that the marks inside published texts leave of some of them.
+    36: "this program is free software",
+    37: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    38: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    39: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    40: "either version 3 of the license or at your option any later version",
+    41: "either version 2 of the license or at your option any later version",
+    42: "this program is distributed in the hope that it will be useful but without any warranty",
+    43: "without even the implied warranty of merchantability or fitness for a particular purpose",
+    44: "this source code form is subject to the terms of the mozilla public license v",
+    45: "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    46: "spdx license identifier",
+    # Below 0: pieces that say nothing by themselves ("mit" is a word of German), so that they count in rules only.
+    -1: "mit",
+    -2: "apache 2 0",
+    -3: "gpl 3 0 or later",
+    -4: "bsd 3 clause",
 }
 #: (licence, kind, sequence of sentences). Longer rules come before those that are part of them.
 RULES = (
     ("Apache-2.0", "permissive", (2, 3, 4)),
     ("Apache-2.0", "permissive", (1,)),
     ("Apache-2.0", "permissive", (33,)),
+    ("Apache-2.0", "permissive", (46, -2)),
     ("BSD-3-Clause", "permissive", (12, 13, 14, 15)),
     ("BSD-3-Clause", "permissive", (35,)),
+    ("BSD-3-Clause", "permissive", (46, -4)),
     ("BSD-2-Clause", "permissive", (12, 13, 14, 16)),
     ("CC-BY-4.0", "permissive", (23,)),
     ("CC-BY-4.0", "permissive", (25,)),
@@ -64,31 +83,36 @@ RULES = (
     ("CC-BY-NC-4.0", "non-commercial", (26,)),
     ("CC-BY-SA-4.0", "copyleft", (24,)),
     ("CC-BY-SA-4.0", "copyleft", (27,)),
-    ("GPL-2.0-or-later", "copyleft", (20, 21)),
+    *(("GPL-2.0-or-later", "copyleft", (*terms, *hope)) for terms in ((20,), (36, 38), (36, 39, 41)) for hope in ((21,), (42, 43))),
     ("GPL-3.0-only", "copyleft", (17,)),
     ("GPL-3.0-only", "copyleft", (18,)),
-    ("GPL-3.0-or-later", "copyleft", (19, 21)),
+    *(("GPL-3.0-or-later", "copyleft", (*terms, *hope)) for terms in ((19,), (36, 37), (36, 39, 40)) for hope in ((21,), (42, 43))),
     ("GPL-3.0-or-later", "copyleft", (34,)),
+    ("GPL-3.0-or-later", "copyleft", (46, -3)),
     ("ISC", "permissive", (11,)),
     ("MIT", "permissive", (6,)),
     ("MIT", "permissive", (7,)),
     ("MIT", "permissive", (8, 9, 10)),
     ("MIT", "permissive", (32,)),
-    ("MPL-2.0", "copyleft", (28, 29)),
+    ("MIT", "permissive", (46, -1)),
+    *(("MPL-2.0", "copyleft", (form, copy)) for form in (28, 44) for copy in (29, 45)),
     ("Unlicense", "permissive", (31,)),
 )
-#: Every known sentence holds one of these words, so a text without them has none of the sentences.
-WORDS = ("licen", "permi", "copyright", "warrant", "redistribut", "compliance", "rights reserved", "free software", "unencumbered", "mpl")
+#: Every known sentence holds one of these words, so a text without them has none of the sentences. Each is in one word: there may be any
+#: white space between two.
+WORDS = ("licen", "permi", "copyright", "warrant", "redistribut", "compliance", "reserved", "software", "unencumbered", "mpl", "mit", "apache", "gpl", "bsd")
+#: A sentence in normal form that is only the number of a list or of a version.
+NUMBER = "^[0-9]{1,3}( [0-9]{1,3}){0,3}$"
 
 BREAK = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|[\x0A\x0D]+"
 PARAGRAPH = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|\x0A[\x20\x09\x0D]*\x0A"
 
 
 def _identifiers(folded: Column, pattern: str) -> Column:
-    """The identifiers of a text's sentences in order, 0 for one that is not known; empty sentences do not count."""
+    """The identifiers of a text's sentences in order, 0 for one that is not known; empty sentences and numbers of lists do not count."""
     known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
     normal = F.transform(F.split(folded, pattern, -1), lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9\\x{80}-\\x{10FFFF}]+", " ")))
-    return F.transform(F.filter(normal, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(known, s), F.lit(0)))
+    return F.transform(F.filter(normal, lambda s: (s != "") & ~s.rlike(NUMBER)), lambda s: F.coalesce(F.try_element_at(known, s), F.lit(0)))
 
 
 def _found(sequence: Column, column: int) -> Column:
@@ -97,10 +121,10 @@ def _found(sequence: Column, column: int) -> Column:
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_sentences (known ones), sentence_ids, licenses, kinds.
+    """One row per document: doc_id, n_sentences (known ones with an identifier above 0), sentence_ids (theirs), licenses, kinds.
 
     Sentences end at . ; : ! ? before white space or the end, and at line ends; a second reading runs on over single line ends, for texts
-    that are wrapped. A rule matches where its identifiers follow each other with no other sentence between. sentence_ids (first reading),
+    that are wrapped. A rule matches where its identifiers follow each other with no other sentence between, but for numbers of lists. sentence_ids (first reading),
     licenses and kinds are joined by commas, the last two sorted and without repeats; they are empty where nothing is found.
 
     Null and empty texts have none. Ids may be null and repeat; texts of any length are read whole, each row by itself: nothing is
@@ -119,7 +143,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def duckdb_sql(documents: str = "documents") -> str:
-    """The same result as SQL."""
+    """The same result as SQL, but that numbers of lists count as sentences between others."""
     known = ", ".join(f"'{s}': {i}" for i, s in SENTENCES.items())
     ids = lambda pattern: (
         f"list_transform(list_filter(list_transform(string_split_regex(folded, '{pattern}'), lambda s: trim(regexp_replace(s, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'))), lambda s: s <> ''), lambda s: coalesce(known[s], 0))"

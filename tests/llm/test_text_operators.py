@@ -188,6 +188,27 @@ def test_license_scan(spark):
     assert license_scan.license_scan(frame(spark, [])).count() == 0
 
 
+def test_license_rules_match_published_texts(spark):
+    gpl = "This program is free software{} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at {}://mozilla.org/MPL/2.0/."
+    bsd = "Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\nlist of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\nthis list of conditions and the following disclaimer in the documentation\nand/or other materials provided with the distribution.\n\n"
+    three = "3. Neither the name of the copyright holder nor the names of its contributors\nmay be used to endorse or promote products derived from this software without\nspecific prior written permission.\n\n"
+    end = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND\nANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED\nWARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n"
+    expected = [
+        (gpl.format(":", ",", 3), "GPL-3.0-or-later"), (gpl.format(";", ";", 3), "GPL-3.0-or-later"), (gpl.format(";", ";", 2), "GPL-2.0-or-later"), (gpl.format(":", ",", 2), "GPL-2.0-or-later"),
+        (gpl.format(",", ",", 2).replace("WARRANTY;", "WARRANTY,"), "GPL-2.0-or-later"), (mpl.format("https"), "MPL-2.0"), (mpl.format("http"), "MPL-2.0"), (bsd + three + end, "BSD-3-Clause"), (bsd + end, "BSD-2-Clause"),
+        ("/*\n * " + (bsd + three + end).replace("\n", "\n * "), "BSD-3-Clause"), (bsd.replace("\n\n2. ", "\n\n2. Something else.\n\n3. ") + end, ""), (apache, "Apache-2.0"),
+        *((f"{a}SPDX-License-Identifier: {x}\nint x;", x) for x in ("MIT", "Apache-2.0", "GPL-3.0-or-later", "BSD-3-Clause") for a in ("", "// ")),
+        ("SPDX-License-Identifier: LicenseRef-Mine\nMIT", ""),
+    ]
+    got = {r.doc_id: r.licenses for r in license_scan.license_scan(frame(spark, [(i, t) for i, (t, _) in enumerate(expected)])).collect()}
+    assert [got[i] for i in range(len(expected))] == [x for _, x in expected]
+    alone = license_scan.license_scan(frame(spark, list(license_scan.SENTENCES.items()))).collect()
+    assert {r.doc_id: r.sentence_ids for r in alone} == {i: str(i) if i > 0 else "" for i in license_scan.SENTENCES}
+    assert not any(w.split()[1:] for w in license_scan.WORDS)
+
+
 def test_quality(spark):
     rng = random.Random(5)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "te") for b in ("n", "r", "st", "ve")]
