@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|none", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？«»“”„\"()-]")
 
 # Kinds of elements, and the words in class, id and role that mark what is not the article.
@@ -32,6 +34,8 @@ ARTICLE = frozenset("article main articlebody article-body post-content entry-co
 CLOSED_BY = {t: frozenset(s.split()) for t, s in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th", "body": "head"}.items()}
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul tr td th".split())
 SCOPE = frozenset("html body article main section div table ul ol dl td th blockquote form nav aside header footer".split())
+#: Elements that can be a list of links, those inside one, and those whose lists are kept.
+LISTS, OF_LISTS, KEPT = frozenset("ul ol dl menu div".split()), frozenset("ul ol dl menu div li dt dd".split()), frozenset("td th caption figcaption blockquote".split())
 #: Standard deviation of the smoothing, in text nodes, and the part of the chosen text that the article's element holds.
 SMOOTH, HOLDS = 1.0, 0.75
 
@@ -45,9 +49,17 @@ def _marks(attributes: str) -> set[str]:
     return words
 
 
+def _hidden(attributes: str) -> bool:
+    for m in _ATTRIBUTE.finditer(attributes) if _MAY_HIDE.search(attributes) else ():
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def _left_out(name: str, marks: set[str], attributes: str, above: int, in_article: bool, by_words: bool) -> int:
     """2: an element is left out by its kind, 1: by its words, which an article inside it overrules, 0: not at all."""
-    if above == 2 or (name in LEFT_OUT and not (name == "header" and in_article)) or marks & COMMENTS or (attributes and _HIDDEN.search(attributes)):
+    if above == 2 or (name in LEFT_OUT and not (name == "header" and in_article)) or marks & COMMENTS or _hidden(attributes):
         return 2
     if name in ("html", "body", "article", "main"):
         return 0
@@ -132,6 +144,23 @@ def path_scores(nodes: list[tuple]) -> np.ndarray:
     return smooth(length) * np.log1p(smooth(marks) + 1)
 
 
+def _linked_lists(inside: list[tuple], first: int, last: int, root: int) -> set[int]:
+    """Elements below the root that are nothing but lists of several links before the first block or after the last."""
+    sums = defaultdict(lambda: [0, 0, 0])  # characters without and with a link, links
+    mixed, outside = set(), set()
+    for block, path, elements, link, text in inside:
+        n = len(text.strip())
+        below = next((i + 1 for i, e in enumerate(elements) if abs(e) == root), 0)
+        for i in range(below, len(path)):
+            if path[i] in LISTS and n:
+                s = sums[elements[i]]
+                s[link] += n
+                s[2] += link
+                kept = first <= block <= last or not OF_LISTS.issuperset(path[i:]) or not KEPT.isdisjoint(path[below:i])
+                (mixed if kept else outside).add(elements[i])
+    return {e for e in outside - mixed if sums[e][2] > 1 and sums[e][1] > 4 * sums[e][0]}
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the article, white space inside each made one space, joined by an empty line."""
     nodes = text_nodes(page or "")
@@ -159,13 +188,11 @@ def main_text(page: str | None) -> str:
         if whole and max(whole.values()) * 2 >= total:
             root = max(whole, key=lambda e: (whole[e], -e))
     inside = [x for x in nodes if not root or root in x[2] or -root in x[2]]
-    links = defaultdict(lambda: [0, 0])
-    for x in inside:
-        links[x[1]][x[3]] += len(x[4].strip())
+    plain = [x[0] for x in chosen if not x[3]]
+    dropped = _linked_lists(inside, plain[0], plain[-1], root) if plain and root not in articles else set()
     blocks: dict[int, list[str]] = {}
-    for block, path, _, _, text in inside:
-        plain, linked = links[path]
-        if linked <= 4 * plain or path[-1:] == ("p",):
+    for block, _, elements, _, text in inside:
+        if not dropped.intersection(elements):
             blocks.setdefault(block, []).append(text)
     texts = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n\n".join(t for t in texts if t)
@@ -177,7 +204,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Left out are elements that are no article by their kind (navigation, headers outside the article, footers, sidebars, forms, scripts,
     styles) or by a word in their class, id or role. Of what is left, text length and punctuation are summed for each root-to-leaf tag
     path, divided by the path's nodes, smoothed along the page, multiplied, and cut at the standard deviation; the article is the deepest
-    element that holds most of the nodes chosen so, and all its blocks are returned, however short, but for lists of links.
+    element that holds most of the nodes chosen so, and all its blocks are returned, however short and linked. Only if no element is named
+    as the article, lists of nothing but links before the first or after the last of those nodes are left out.
 
     Null or empty pages give an empty text, ids and urls may be null and repeat, and pages of any length are read whole. Other columns are
     not read. Each page is worked on by itself, so nothing is shuffled.

@@ -16,6 +16,27 @@ def test_article_is_found_by_element_class_or_ratio_alone():
         assert main_text(SITE % (open_ + BODY + close)) == TEXT, open_
 
 
+def test_linked_blocks_of_the_article_stay():
+    link = "<a href='x'>%s</a>"
+    words = "A sentence of the article, with commas, which is long enough to be one."
+    body = f"<h1>{link % 'Linked title'}</h1><p>{words}</p><h2>{link % 'Linked heading'}</h2><p>{words}</p><blockquote>{link % 'Linked quotation'}</blockquote><table><tr><td>{link % 'Cell one'}<td>{link % 'Cell two'}</table>"
+    body += f"<figure><figcaption>{link % 'Linked caption'}</figcaption></figure><ul><li>{link % 'A single item'}</ul><h2>Sources</h2><ol><li>{link % 'First source'}<li>{link % 'Second source'}</ol>"
+    expected = ["Linked title", words, "Linked heading", words, "Linked quotation", "Cell one", "Cell two", "Linked caption", "A single item", "Sources", "First source", "Second source"]
+    for open_, close in (("<article>", "</article>"), ('<div class="post-content">', "</div>")):
+        assert main_text(SITE % (open_ + body + close)) == "\n\n".join(expected)
+    menu = f"<ul><li>{link % 'Home'}<li>{link % 'About'}</ul><div>{link % 'One'} | {link % 'Two'}</div>"
+    page = f"<body>{menu}{body}<p>{words}</p><section>{menu}</section>"
+    assert main_text(page) == "\n\n".join([*expected, words])
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    words = "A sentence of the article, with commas, which is long enough to be one."
+    for shown in ('title="the hidden garden"', 'data-x="aria-hidden=true"', 'title="display: none"', 'aria-hidden="false"', "alt='hidden'"):
+        assert main_text(f"<article><div {shown}><p>{words}</p></div></article>") == words, shown
+    for hidden in ("hidden", "HIDDEN=''", 'class="x" hidden', 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display : none"'):
+        assert main_text(f"<article><p>{words}</p><div {hidden}><p>{words}</p></div></article>") == words, hidden
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<script>x</script>") == main_text("<nav>a</nav>") == ""
     assert main_text("just &lt;text") == "just <text"
