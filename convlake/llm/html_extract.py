@@ -144,6 +144,32 @@ def path_scores(nodes: list[tuple]) -> np.ndarray:
     return smooth(length) * np.log1p(smooth(marks) + 1)
 
 
+def _article_roots(filled: list[tuple], chosen: list[tuple], root: int) -> set[int]:
+    """The root and the other elements named as articles of whose text at least half is chosen; or the root, if those hold less than half.
+
+    Of nested ones the outermost counts, or the deepest inside it that holds enough of its chosen text.
+    """
+    whole, picked, inner, above = defaultdict(int), defaultdict(int), defaultdict(dict), {root}
+    for nodes, sums in ((filled, whole), (chosen, picked)):
+        for x in nodes:
+            for e in x[2]:
+                sums[abs(e)] += len(x[4])
+    for x in filled:
+        path = [abs(e) for e in x[2]]
+        if root in path and -root in x[2]:
+            above.update(path[: path.index(root)])
+    for x in filled:
+        named = [] if -root in x[2] else [-e for e in x[2] if e < 0 and -e not in above]
+        if named:
+            inner[named[0]].update(dict.fromkeys(named))
+    parts = {top for top in inner if picked[top] and 2 * picked[top] >= whole[top]}
+    if not any(-root in x[2] for x in filled):
+        if 2 * sum(whole[e] for e in parts) < sum(len(x[4]) for x in chosen):
+            return {root} - {0}
+        return parts
+    return {root} | {[e for e in inner[top] if picked[e] >= HOLDS * picked[top]][-1] for top in parts}
+
+
 def _linked_lists(inside: list[tuple], first: int, last: int, root: int) -> set[int]:
     """Elements below the root that are nothing but lists of several links before the first block or after the last."""
     sums = defaultdict(lambda: [0, 0, 0])  # characters without and with a link, links
@@ -183,13 +209,10 @@ def main_text(page: str | None) -> str:
         for depth, e in enumerate(x[2]):
             if held[abs(e)] >= HOLDS * total and (rank := depth + 1000 * (abs(e) in articles)) > best:
                 root, best = abs(e), rank
-    if not root or root not in articles:
-        whole = {e: sum(len(x[4]) for x in filled if -e in x[2]) for e in articles}
-        if whole and max(whole.values()) * 2 >= total:
-            root = max(whole, key=lambda e: (whole[e], -e))
-    inside = [x for x in nodes if not root or root in x[2] or -root in x[2]]
+    roots = _article_roots(filled, chosen, root)
+    inside = [x for x in nodes if not roots or any(abs(e) in roots for e in x[2])]
     plain = [x[0] for x in chosen if not x[3]]
-    dropped = _linked_lists(inside, plain[0], plain[-1], root) if plain and root not in articles else set()
+    dropped = _linked_lists(inside, plain[0], plain[-1], root) if plain and roots.isdisjoint(articles) else set()
     blocks: dict[int, list[str]] = {}
     for block, _, elements, _, text in inside:
         if not dropped.intersection(elements):
@@ -204,7 +227,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Left out are elements that are no article by their kind (navigation, headers outside the article, footers, sidebars, forms, scripts,
     styles) or by a word in their class, id or role. Of what is left, text length and punctuation are summed for each root-to-leaf tag
     path, divided by the path's nodes, smoothed along the page, multiplied, and cut at the standard deviation; the article is the deepest
-    element that holds most of the nodes chosen so, and all its blocks are returned, however short and linked. Only if no element is named
+    element that holds most of the nodes chosen so, where elements named as articles by their kind, class, id or role come before others,
+    together with every other such element of whose text at least half is chosen; all its blocks are returned, however short and linked. Only if no element is named
     as the article, lists of nothing but links before the first or after the last of those nodes are left out.
 
     Null or empty pages give an empty text, ids and urls may be null and repeat, and pages of any length are read whole. Other columns are

@@ -29,6 +29,18 @@ def test_linked_blocks_of_the_article_stay():
     assert main_text(page) == "\n\n".join([*expected, words])
 
 
+def test_an_article_in_several_elements_is_whole():
+    parts = [f"Sentence {i} of the article, with commas, which is long enough, all in all, to be one." for i in range(5)]
+    p = [f"<p>{x}</p>" for x in parts]
+    advert = '<div class="ad"><p>Buy it now, today, or never!</p></div>'
+    one, two, most = "".join(p[:3]), "".join(p[3:]), "".join(p[:4])
+    for a, b in ((one, two), (most, p[4]), (p[0], "".join(p[1:]))):
+        for open_, close in (('<div class="article-body">', "</div>"), ("<article>", "</article>"), ('<article><div class="entry-content">', "</div></article>"), ('<div><div class="article-body">', "</div></div>")):
+            assert main_text(SITE % f"{open_}{a}{close}{advert}{open_}{b}{close}") == "\n\n".join(parts), open_
+    assert main_text(SITE % f"<main><article>{one}</article>{advert}<article>{two}</article></main>") == "\n\n".join(parts)
+    assert main_text(SITE % f"<article>{one}{two}</article><article><a href='x'>Other</a></article>") == "\n\n".join(parts)
+
+
 def test_hidden_is_an_attribute_not_a_word():
     words = "A sentence of the article, with commas, which is long enough to be one."
     for shown in ('title="the hidden garden"', 'data-x="aria-hidden=true"', 'title="display: none"', 'aria-hidden="false"', "alt='hidden'"):
