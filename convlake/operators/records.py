@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from convlake.functions.text import terms
 from convlake.operators.search import equal_to
 
-MAX_CHARS = 2_000_000
+MAX_CHARS, OVER_LIMIT = 2_000_000, "over limit"
 UNITS = "format string, unit int, first_line int, n_lines int"
 
 
@@ -61,22 +61,29 @@ def rank_units(units: DataFrame, key: str, unit: str, line: str, wanted: list[st
     return rows.where(some).select(key, unit, F.round(score, 6).alias("score"))
 
 
-def parse_units(df: DataFrame, key: str, body: str) -> DataFrame:
-    """Smallest records of texts in a format that is sure: key, format, unit (from 1), first_line (from 0), n_lines.
+def parse_units(df: DataFrame, key: str | list[str], body: str) -> DataFrame:
+    """Smallest records of texts in a format that is sure: key columns, format, unit (from 1), first_line (from 0), n_lines.
 
     JSON lists and objects over several lines, TOML sections, XML with one construct a line, unified diffs, git logs, Python sources. Texts that
-    fit none of them, or are longer than MAX_CHARS, have no units.
+    fit none of them have no units. One that is longer than MAX_CHARS is not parsed; its one row has the format OVER_LIMIT, unit 0 and all lines.
     """
-    kind = df.schema[key].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else key
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            rows = [(k, name, i + 1, a, n) for k, text in zip(batch[key], batch[body]) for name, units in [_parse(text or "")] for i, (a, n) in enumerate(units)]
-            yield pd.DataFrame(rows, columns=[key, "format", "unit", "first_line", "n_lines"])
+            rows = []
+            for *k, text in zip(*(batch[c] for c in keys), batch[body]):
+                if len(text or "") > MAX_CHARS:
+                    rows.append((*k, OVER_LIMIT, 0, 0, text.count("\n") + 1))
+                    continue
+                name, units = _parse(text or "")
+                rows += [(*k, name, i + 1, a, n) for i, (a, n) in enumerate(units)]
+            yield pd.DataFrame(rows, columns=[*keys, "format", "unit", "first_line", "n_lines"])
 
-    return df.select(key, body).mapInPandas(run, f"{key} {kind}, {UNITS}")
+    return df.select(*keys, body).mapInPandas(run, f"{kinds}, {UNITS}")
 
 
 def _sections(lines: list[str], starts) -> list[tuple[int, int]]:
@@ -135,7 +142,7 @@ FORMATS = {"json": _json, "xml": _xml, "toml": _toml, "gitlog": _gitlog, "diff":
 def _parse(text: str) -> tuple[str, list[tuple[int, int]]]:
     """The first format that has records and no doubt about it."""
     lines = text.split("\n")
-    if len(text) <= MAX_CHARS and len(lines) >= 3:
+    if len(lines) >= 3:
         for name, units in FORMATS.items():
             try:
                 if found := units(text, lines):

@@ -10,6 +10,8 @@ from convlake.operators import budget, lifecycle, records, search, structure
 from convlake.plans.registry import FOLD, TERMS, query
 from convlake.sources.archive import archive, document_archive, file_ops, read
 
+#: Characters of a piece of a user's events of a day.
+UNIT_CHARS = 500_000
 WANTED = ["the", "tion", "der", "onou"]
 _VALUES = "(VALUES " + ", ".join(f"('{w}')" for w in WANTED) + ") v(term)"
 
@@ -398,11 +400,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("lf_units")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    row = F.concat_ws(",", "idx", "op", "path")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("idx", row.alias("r")))), lambda x: x["r"])
-    tables = file_ops(spark, d).groupBy("conv").agg(F.concat(F.lit("idx,op,path\n"), F.array_join(rows, "\n")).alias("body"))
-    props = read(spark, d, "events").groupBy(F.col("user_id").alias("conv")).agg(F.concat(F.lit("[\n"), F.array_join(F.array_sort(F.collect_list("props")), ",\n"), F.lit("\n]")).alias("body"))
-    return records.parse_units(tables.unionByName(props), "conv", "body")
+    """Texts are those of a user and day, in pieces of about UNIT_CHARS: no row holds all of a user, and none is over the parser's limit unless one line is."""
+    keys = ["conv", "day", "piece"]
+
+    def texts(rows: DataFrame, before: str, between: str, after: str) -> DataFrame:
+        so_far = F.sum(F.length("line") + len(between)).over(Window.partitionBy("conv", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("day", F.to_date("ts")).withColumn("piece", F.floor(so_far / UNIT_CHARS).cast("long"))
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "line"))), lambda x: x["line"])
+        return rows.groupBy(keys).agg(F.concat(F.lit(before), F.array_join(lines, between), F.lit(after)).alias("body"))
+
+    tables = file_ops(spark, d).select("conv", "ts", "event_id", F.concat_ws(",", "idx", "op", "path").alias("line"))
+    props = read(spark, d, "events").where("props IS NOT NULL").select(F.col("user_id").alias("conv"), "ts", "event_id", F.col("props").alias("line"))
+    return records.parse_units(texts(tables, "idx,op,path\n", "\n", "").unionByName(texts(props, "[\n", ",\n", "\n]")), keys, "body")
 
 
 @query("rc10_turn_tree", "WITH <archive>, t AS (SELECT *, last_value(CASE WHEN role = 'user' THEN idx END IGNORE NULLS) OVER (PARTITION BY conv ORDER BY idx) AS turn_idx FROM archive) SELECT conv, turn_idx, count(*) AS n, count(*) FILTER (role = 'assistant') AS replies, sum(tokens)::BIGINT AS tokens, left(arg_min(content, idx), 80) AS opening FROM t GROUP BY conv, turn_idx")

@@ -208,3 +208,17 @@ def test_stateful_totals_equal_batch(spark, tmp_path):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     last = events.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("v"))
     assert got == {r.user_id: (r.n, round(r.t, 4)) for r in last.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("v").alias("t")).collect()}
+
+
+def test_units_of_users_with_many_events_are_whole(spark, tmp_path):
+    from convlake.plans.registry import QUERIES
+    from convlake.plans import search_queries  # noqa: F401
+
+    props = F.concat(F.lit('{"k": "'), F.repeat(F.lit("x"), 1000), F.lit('"}'))
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))
+    events = spark.range(2500).select(F.col("id").alias("event_id"), ts.alias("ts"), F.lit(7).cast("long").alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), props.alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["lf_units"](spark, str(tmp_path)).collect()
+    assert len(got) == 2500 and {(r.conv, r.format) for r in got} == {(7, "json")} and len({r.piece for r in got}) > 1
+    long = spark.createDataFrame([("a", "[\n" + "1,\n" * 700_000 + "1\n]")], "k string, body string")
+    assert [tuple(r) for r in records.parse_units(long, "k", "body").collect()] == [("a", "over limit", 0, 0, 700_003)]
