@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Texts that may begin with each other are brought together by their first 2^5, 2^6, ... characters.
+HEAD = 32
+
 
 def visible(df: DataFrame, current: DataFrame, max_idx: Column | int, key: str = "rid") -> DataFrame:
     """Rows before max_idx, or of the request in progress."""
@@ -74,3 +79,45 @@ def covered(spans: DataFrame, by: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("a", "_own").rowsBetween(Window.unboundedPreceding, 0)
     reach = F.last(F.when(F.col("_own") == 0, F.col("b")), ignorenulls=True).over(w)
     return rows.withColumn("_reach", reach).where("_own = 1 AND b <= _reach").drop("_own", "_reach")
+
+
+def saved_prefixes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The longest text of a smaller key that a text begins with, all of it: key, longest, saved (the smallest key of that text).
+
+    Texts are hashed, in one running pass, at the lengths n of texts that are shorter than HEAD or have the same first 2^k characters,
+    2^k <= n < 2^(k+1), and joined by length and hash. Empty texts are no prefix; texts without a saved prefix have no row.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(key, text, F.length(text).alias("n")).where("n > 0")
+    saved = rows.groupBy("n", F.unhex(F.sha2(text, 256)).alias("h")).agg(F.min(key).alias("saved"))
+    short = rows.where(F.col("n") < HEAD).agg(F.collect_set("n").alias("short"))
+    powers = F.filter(F.array(*(F.lit(2**k) for k in range(5, 31))), lambda p: p <= F.col("n"))
+    heads = rows.where(F.col("n") >= HEAD).select(key, "n", F.explode(F.transform(powers, lambda p: F.struct(p.alias("p"), F.xxhash64(F.substring(F.col(text), F.lit(1), p)).alias("x")))).alias("head"))
+    # a text alone with its beginning has no prefix of these lengths
+    lengths = heads.groupBy("head").agg(F.collect_set(F.when(F.col("n") < 2 * F.col("head.p"), F.col("n"))).alias("some"), F.count("*").alias("texts")).where("texts > 1 AND size(some) > 0")
+    asked = heads.select(key, "head").join(lengths, "head").groupBy(key).agg(F.flatten(F.collect_list("some")).alias("lengths"))
+
+    def run(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for k, t, some, few in zip(batch[key], batch[text], batch["lengths"], batch["short"]):
+                running, at = hashlib.sha256(), 0
+                for n in sorted([*few, *(some if some is not None else ())]):
+                    if n > len(t):
+                        break
+                    running.update(t[at:n].encode())
+                    at = n
+                    out.append((k, n, running.digest()))
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=["k", "n", "h"])
+                    out = []
+            yield pd.DataFrame(out, columns=["k", "n", "h"])
+
+    # one row of fewer than HEAD lengths
+    asked = rows.where(F.col(key).isNotNull()).select(key, text).join(asked, key, "left").crossJoin(F.broadcast(short)).select(key, text, "lengths", "short")
+    probes = asked.mapInPandas(run, f"k {kind}, n int, h binary")
+    return probes.join(saved, ["n", "h"]).where("saved < k").groupBy(F.col("k").alias(key)).agg(F.max("n").alias("longest"), F.max_by("saved", "n").alias("saved"))

@@ -40,6 +40,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return prefixes.join(first, ["n", "h"]).where("saved < doc_id").groupBy("doc_id").agg(F.max("n").alias("longest"), F.max_by("saved", "n").alias("saved"))
 
 
+@query("jn11_saved_prefix")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job of which jn11_longest_prefix and its SQL state three lengths."""
+    return structure.saved_prefixes(read(spark, d, "documents"), "doc_id", "text")
+
+
 @query("ag19_weights", "SELECT sum(length(html))::BIGINT AS whole, sum(length(html) - length(regexp_replace(html, '<[^>]*>', '', 'g')))::BIGINT AS frame FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
     n = F.length("html")

@@ -222,3 +222,18 @@ def test_units_of_users_with_many_events_are_whole(spark, tmp_path):
     assert len(got) == 2500 and {(r.conv, r.format) for r in got} == {(7, "json")} and len({r.piece for r in got}) > 1
     long = spark.createDataFrame([("a", "[\n" + "1,\n" * 700_000 + "1\n]")], "k string, body string")
     assert [tuple(r) for r in records.parse_units(long, "k", "body").collect()] == [("a", "over limit", 0, 0, 700_003)]
+
+
+def test_saved_prefixes_have_any_length(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abé日 \U0001f600") for _ in range(6000))
+    texts = [base[:n] for n in (3, 60, 300, 5000, 31, 32, 33, 6000, 60, 299)] + [base[:60] + "x", base[:50] + "y" * 40, "", "other", base[:5000] + "z", base[:2] + "q", base]
+    rows = [*enumerate(texts), (100, None), (None, base[:70])]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.longest, r.saved) for r in structure.saved_prefixes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    expected = {}
+    for i, t in enumerate(texts):
+        found = [(len(s), -j) for j, s in enumerate(texts) if s and j < i and t.startswith(s)]
+        if found:
+            expected[i] = (max(found)[0], -max(found)[1])
+    assert got == expected and got[14] == (5000, 3) and got[16] == (6000, 7)
