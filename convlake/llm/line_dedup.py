@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlake.llm.common import discard, fold_ascii, partitions, store, strip_ascii
+from convlake.llm.common import discard, fold_ascii, partitions, scratch_root, store, strip_ascii
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -21,55 +23,75 @@ def _hash(key: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, doc_id): each different key of at least min_chars code points, once for each row that holds it."""
-    keys = F.split(fold_ascii(F.coalesce(F.col(text_col), F.lit(""))), "\n", -1)
-    long_keys = F.array_distinct(F.filter(F.transform(keys, strip_ascii), lambda k: F.length(k) >= min_chars))
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(long_keys).alias("key")).select(_hash(F.col("key")).alias("h"), "doc_id").select("h.h1", "h.h2", "doc_id")
+    """(h1, h2, doc_id, no_id, row_hash, pos): each line whose key has at least min_chars code points. row_hash tells rows that share an id
+    apart, and no_id is a number of its own for each row without id."""
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    keys = F.transform(F.split(fold_ascii(body), "\n", -1), lambda line, pos: F.struct(strip_ascii(line).alias("key"), pos.alias("pos")))
+    no_id = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).alias("doc_id"), no_id.alias("no_id"), F.xxhash64(body).alias("row_hash"), F.explode(F.filter(keys, lambda x: F.length(x["key"]) >= min_chars)).alias("line"))
+    return rows.select(_hash(F.col("line.key")).alias("h"), "doc_id", "no_id", "row_hash", "line.pos").select("h.h1", "h.h2", "doc_id", "no_id", "row_hash", "pos")
 
 
 class LineRuns:
-    """Runs of (h1, h2, n_docs, max_doc, is_new), each sorted by hash, in levels.
+    """Runs of (h1, h2, n_docs, keeper), sorted by hash in buckets of hashes, in levels.
+
+    Batches come in descending ranges of ids. A batch is aggregated and merge-anti-joined with the runs there are: what is left are keys
+    that no later document holds, and their keeper is the largest id that holds them in this batch. Keys seen before add to the count only.
+    Both become one run of level 0. As soon as a level holds `fanout` runs they are merged into one run of the next level, so n batches
+    leave about fanout x log(n) runs and every row is rewritten log(n) times.
 
-    A batch becomes one run of level 0: it is aggregated, merge-joined with the runs there are (is_new marks the keys that the anti-join
-    leaves over) and written. As soon as a level holds `fanout` runs they are merged into one run of the next level, so n batches leave
-    about fanout x log(n) runs and every row is rewritten log(n) times. Counts add up and maxima combine, so the merged view does not
-    depend on how rows came in batches. Runs are written tables: a lost executor never costs an earlier batch.
+    All runs are tables with the same buckets, so the anti-joins move no row between tasks. Merging runs reads their files and exchanges
+    them once. Runs are written, so a lost executor never costs an earlier batch.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    KEY = ("h1", "h2")
+
+    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None):
         if fanout < 2:
             raise ValueError("fanout must be 2 or more")
-        self.spark, self.fanout, self.levels = spark, fanout, []
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets or partitions(spark)
+        self.levels: list[list[DataFrame]] = []
+        self.places: dict[DataFrame, tuple[str, str]] = {}
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        union = runs[0]
-        for r in runs[1:]:
-            union = union.unionByName(r)
-        return union.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("is_new").alias("is_new"))
-
-    @staticmethod
-    def _sorted(run: DataFrame, name: str) -> DataFrame:
-        return store(run.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2"), name)
+    def _written(self, rows: DataFrame) -> DataFrame:
+        name = f"line_run_{uuid.uuid4().hex}"
+        path = f"{scratch_root(self.spark)}/{name}"
+        writer = rows.repartition(self.buckets, *self.KEY).write.bucketBy(self.buckets, *self.KEY).sortBy(*self.KEY)
+        writer.option("path", path).format("parquet").saveAsTable(name)
+        run = self.spark.table(name)
+        self.places[run] = name, path
+        return run
+
+    def _drop(self, runs: list[DataFrame]) -> None:
+        for r in runs:
+            name, path = self.places.pop(r)
+            discard(self.spark.read.schema(r.schema).parquet(path))
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        union = self.spark.read.schema(runs[0].schema).parquet(*(self.places[r][1] for r in runs))
+        return union.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
     def unseen(self, hashes: DataFrame) -> DataFrame:
-        """The keys of hashes (h1, h2, ...) that no run holds: a merge-anti-join."""
+        """The rows of hashes (h1, h2, ...) whose key no run holds: a merge-anti-join."""
         for r in self.runs():
-            hashes = hashes.join(r.select("h1", "h2"), ["h1", "h2"], "left_anti")
+            hashes = hashes.join(r.select(*self.KEY), list(self.KEY), "left_anti")
         return hashes
 
     def add(self, hashes: DataFrame) -> None:
-        """Adds a batch of (h1, h2, doc_id), one row for each key and row that holds it."""
-        batch = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        if self.runs():
-            seen = self._merged(self.runs()).select("h1", "h2", F.lit(False).alias("is_new"))
-            batch = batch.join(seen, ["h1", "h2"], "left").select("h1", "h2", "n_docs", "max_doc", F.coalesce("is_new", F.lit(True)).alias("is_new"))
-        else:
-            batch = batch.withColumn("is_new", F.lit(True))
-        self._put(0, self._sorted(batch, "line-run"))
+        """Adds a batch of (h1, h2, doc_id, no_id, ...), all of whose ids are below those of earlier batches; the batch without ids comes last."""
+        held = hashes.select(*self.KEY, "doc_id", "no_id").distinct().groupBy(*self.KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        if not self.runs():
+            return self._put(0, self._written(held.withColumnRenamed("max_doc", "keeper")))
+        batch = self._written(held)
+        fresh = self.unseen(batch).withColumnRenamed("max_doc", "keeper")
+        again = batch.join(fresh.select(*self.KEY), list(self.KEY), "left_anti").select(*self.KEY, "n_docs", F.lit(None).cast(held.schema["max_doc"].dataType).alias("keeper"))
+        run = self._written(fresh.unionByName(again))
+        self._drop([batch])
+        return self._put(0, run)
 
     def _put(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
@@ -77,62 +99,71 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._sorted(self._merged(old), f"line-run-{level + 1}"))
-            for r in old:
-                discard(r)
+            self._put(level + 1, self._written(self._merged(old)))
+            self._drop(old)
 
     def totals(self) -> DataFrame:
-        """(h1, h2, n_docs, max_doc, is_new) over all batches."""
+        """(h1, h2, n_docs, keeper) over all batches: the number of documents that hold a key, and the largest id among them."""
         return self._merged(self.runs())
 
+    def close(self) -> None:
+        """Deletes the runs; nothing that reads them may be evaluated any more."""
+        self._drop(self.runs())
+        self.levels = []
+
 
-def dropped_keys(hashes: DataFrame, runs: LineRuns, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, drop): for each document that loses lines, the hashes of their keys.
+def dropped_lines(hashes: DataFrame, runs: LineRuns, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(drop_id, drop_row, gone): for each row that loses lines, their places in order.
 
     Keys that many documents hold are split from the rest: at most one for each partition occurs more often than a partition's share of
     rows, so those are broadcast and their rows are never shuffled by key.
     """
-    spark = hashes.sparkSession
-    share = max(1, -(-hashes.count() // partitions(spark)))
-    frequent = store(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "n_docs", "max_doc"), "frequent-lines")
-    hot = frequent.where(F.col("n_docs") > share).select("h1", "h2", F.col("max_doc").alias("hot_max"), F.lit(True).alias("hot"))
+    share = max(1, -(-hashes.count() // partitions(hashes.sparkSession)))
+    frequent = store(runs.totals().where(F.col("n_docs") >= min_docs), "frequent-lines")
+    hot = frequent.where(F.col("n_docs") > share).select("h1", "h2", F.col("keeper").alias("hot_keeper"), F.lit(True).alias("hot"))
     tagged = hashes.join(F.broadcast(hot), ["h1", "h2"], "left")
-    cold = tagged.where(F.col("hot").isNull()).drop("hot_max", "hot").join(frequent.where(F.col("n_docs") <= share), ["h1", "h2"])
-    held = tagged.where("hot").select("h1", "h2", "doc_id", F.col("hot_max").alias("max_doc")).unionByName(cold.select("h1", "h2", "doc_id", "max_doc"))
-    lost = held.where(F.col("max_doc").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("max_doc"))))
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+    cold = tagged.where(F.col("hot").isNull()).drop("hot_keeper", "hot").join(frequent.where(F.col("n_docs") <= share), ["h1", "h2"])
+    row = ["doc_id", "row_hash", "pos"]
+    held = tagged.where("hot").select(*row, F.col("hot_keeper").alias("keeper")).unionByName(cold.select(*row, "keeper"))
+    lost = held.where(F.col("keeper").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper"))))
+    return lost.groupBy(F.col("doc_id").alias("drop_id"), F.col("row_hash").alias("drop_row")).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 4, fanout: int = 3) -> DataFrame:
     """One row per input row: row (a struct with all columns of docs), kept_text, n_lines, n_dropped.
 
     Lines are cut at \\n (null or empty text: one empty line). A key is the line without ASCII white space at its ends, with A-Z in lower
-    case. Keys of at least min_chars code points that at least min_docs rows hold lose all their lines, except in the row with the largest
-    id that holds them. Batches are ranges of ids, as documents would arrive.
+    case. Keys of at least min_chars code points that at least min_docs documents hold lose all their lines, except in the document with
+    the largest id that holds them. Batches are ranges of ids, the largest first.
 
-    A null id counts as a holder and is smaller than every other id; where all holders have no id, nothing is dropped. Rows that share an
-    id are holders of their own but keep or lose a line together. Columns of any name pass through inside `row`. An empty table gives an
-    empty result.
+    Rows that share an id are one document: they count once and keep or lose a line together. A row without id counts as a document whose
+    id is smaller than every other; where only such rows hold a key, nothing is dropped. Columns of any name pass through inside `row`. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     hashes = store(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
     cuts = sorted(set(hashes.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     runs, i = LineRuns(spark, fanout), F.col("doc_id")
-    for k in range(len(cuts) + 1):
+    for k in reversed(range(len(cuts) + 1)):
         low = F.lit(True) if k == 0 else i > cuts[k - 1]
         high = F.lit(True) if k == len(cuts) else i <= cuts[k]
         runs.add(hashes.where((low & high) | (i.isNull() if k == 0 else F.lit(False))))
-    drop = dropped_keys(hashes, runs, min_docs).withColumnRenamed("doc_id", "drop_id")
+    drop = dropped_lines(hashes, runs, min_docs)
+    runs.close()
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key_id"), F.xxhash64(body).alias("key_row"), body.alias("body"))
+    out = rows.join(drop, F.col("key_id").eqNullSafe(F.col("drop_id")) & (F.col("key_row") == F.col("drop_row")), "left")
     lines = F.split("body", "\n", -1)
-    stays = F.filter(lines, lambda x: ~((F.length(k := line_key(x)) >= min_chars) & F.array_contains(F.col("drop"), _hash(k))))
-    out = rows.join(drop, F.col("key_id").eqNullSafe(F.col("drop_id")), "left").select("row", "body", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("drop").isNotNull(), stays).alias("stays"))
+    out = out.select("row", "body", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("gone").isNotNull(), lines).alias("lines"), "gone")
+    edges = F.concat(F.array(F.lit(-1)), "gone", F.array(F.col("n_lines").cast("int")))
+    out = out.select("row", "body", "n_lines", "lines", "gone", edges.alias("edges"))
+    between = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("lines", F.get("edges", k) + 2, F.get("edges", k + 1) - F.get("edges", k) - 1))
     return out.select(
         "row",
-        F.when(F.col("stays").isNull(), F.col("body")).otherwise(F.array_join("stays", "\n")).alias("kept_text"),
+        F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join(F.flatten(between), "\n")).alias("kept_text"),
         "n_lines",
-        F.when(F.col("stays").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("stays")).cast("long").alias("n_dropped"),
+        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
     )
 
 

@@ -57,8 +57,32 @@ def test_line_dedup_odd_tables(spark):
     assert {(r.row.doc_id, r.n_dropped) for r in got} == {(None, 1), (3, 0)}
 
 
+def test_repeated_ids_are_one_document(spark):
+    line = "A line that every one of these documents holds, all of it."
+    rows = [(1, line), (1, line), (1, f"{line}\n{line}"), (2, line), (3, f"x\n{line}")]
+    got = line_dedup.line_dedup(frame(spark, rows)).collect()
+    assert [r.n_dropped for r in got] == [0] * 5
+    got = line_dedup.line_dedup(frame(spark, [*rows, (4, line), (5, line)])).select("row.doc_id", "kept_text", "n_dropped").collect()
+    assert sorted((r.doc_id, r.n_dropped, r.kept_text) for r in got) == [(1, 1, ""), (1, 1, ""), (1, 2, ""), (2, 1, ""), (3, 1, "x"), (4, 1, ""), (5, 0, line)]
+
+
+def test_the_anti_join_decides_which_document_keeps_a_line(spark, monkeypatch):
+    line = "A line that the first eight of these documents hold, no later one."
+    docs = frame(spark, [(i, f"{line if i < 8 else 'Another line, which all of the later documents do hold.'}\nown {i}") for i in range(40)])
+    lost = lambda: {r.row.doc_id for r in line_dedup.line_dedup(docs).collect() if r.n_dropped}
+    assert lost() == set(range(39)) - {7}
+    monkeypatch.setattr(line_dedup.LineRuns, "unseen", lambda self, hashes: hashes.where("false"))
+    assert lost() == set(range(8, 39))
+
+
+def test_a_long_log_of_repeated_lines(spark):
+    rows = [(i, "\n".join(f"A line of the log that all the servers wrote down, number {k}" for k in range(20_000))) for i in range(5)]
+    got = line_dedup.line_dedup(frame(spark, rows)).collect()
+    assert sorted((r.row.doc_id, r.n_dropped, len(r.kept_text)) for r in got) == [*((i, 20_000, 0) for i in range(4)), (4, 0, len(rows[0][1]))]
+
+
 def test_runs_do_not_depend_on_batches(spark):
-    docs = [frame(spark, [(10 * b + i, f"A line that is shared by some of the batches here: {(b * i) % 4}") for i in range(5)]) for b in range(5)]
+    docs = [frame(spark, [(100 - 10 * b + i, f"A line that is shared by some of the batches here: {(b * i) % 4}") for i in range(5)]) for b in range(5)]
     runs = line_dedup.LineRuns(spark, fanout=2)
     fresh = []
     for d in docs:
@@ -70,7 +94,7 @@ def test_runs_do_not_depend_on_batches(spark):
     for d in docs[1:]:
         union = union.unionByName(d)
     once.add(line_dedup.line_hashes(union))
-    key = lambda r: [(x.h1, x.h2, x.n_docs, x.max_doc) for x in sorted(r.collect())]
+    key = lambda r: [(x.h1, x.h2, x.n_docs, x.keeper) for x in sorted(r.collect())]
     assert key(runs.totals()) == key(once.totals()) and sum(fresh) == len(key(once.totals()))
 
 
@@ -84,6 +108,18 @@ def test_token_ids_are_those_of_tokenizers():
         assert own.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("mark", [" ", "\n"])
+def test_token_ids_of_long_white_space(spark, mark):
+    from tokenizers import Tokenizer
+
+    text = f"a{mark * 1_000_000}b"
+    theirs = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert BpeEncoder(vocabulary("byte_bpe_50k.tiktoken")).encode(text).tolist() == theirs
+    docs = spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")
+    assert sum(r.length for r in packing.pack(docs).collect()) == len(theirs) + 1
+    assert token_rollup.bpe_counts(docs).first().n_tokens == len(theirs)
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma  ", "d\n"]) for _ in range(rng.choice([0, 1, 5, 300, 900, 5000])))) for i in range(80)] + [(100, None), (None, "x y"), (7000, "z " * 9000)]
