@@ -1,6 +1,11 @@
 import html
 import re
+import time
 
+import numpy as np
+import pytest
+
+from convlake.llm import html_extract
 from convlake.llm.html_extract import extract, main_text
 
 SITE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header class="top"><h2>Site</h2></header>
@@ -16,6 +21,49 @@ def test_article_is_found_by_element_class_or_ratio_alone():
         assert main_text(SITE % (open_ + BODY + close)) == TEXT, open_
 
 
+PLAIN = """<html><body><div><div>Home</div><div>About us</div><div>Contact</div></div><div><div>Some words of a teaser</div><div>More</div></div>
+<section>%s</section><div><div>Cheap shoes, now</div><div>Top ten of the week</div><div>All the terms</div></div></body></html>"""
+
+
+MORE = "One more paragraph of the article, which is longer than the others, with commas, as such paragraphs are, and with an end."
+LONG, LONG_TEXT = f"{BODY}<p>{MORE}<p>{MORE}", f"{TEXT}\n\n{MORE}\n\n{MORE}"
+
+
+def test_tag_path_ratios_select_the_article_where_nothing_names_it():
+    assert main_text(PLAIN % LONG) == LONG_TEXT
+    assert main_text(PLAIN % f"<div>{LONG}</div>") == LONG_TEXT
+
+
+@pytest.mark.parametrize("change", [lambda s: np.ones(len(s)), lambda s: s.max() - s, lambda s: np.arange(len(s), 0, -1.0)])
+def test_other_scores_give_other_text(monkeypatch, change):
+    own = html_extract.path_scores
+    monkeypatch.setattr(html_extract, "path_scores", lambda blocks, tree: change(own(blocks, tree)))
+    assert main_text(PLAIN % LONG) != LONG_TEXT
+
+
+def test_an_element_named_article_is_a_prior_only():
+    teaser = "<article><h3>A teaser</h3></article>"
+    assert main_text(f"<body>{teaser}<div>{BODY}</div></body>").endswith(TEXT)
+    assert main_text(f'<body><article class="discussion">{BODY}</article></body>') == TEXT
+
+
+def test_forms():
+    form = "<form><p>Your name, please:</p><input><button>Send</button></form>"
+    assert main_text(f"<form id='aspnet'><body><article>{BODY}</article>{form}</body></form>").startswith(TEXT)
+    assert main_text(f"<body><form><article>{BODY}</article></form>{form}</body>") == TEXT
+    assert main_text(f"<body><article>{BODY}{form}</article></body>") == TEXT
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "text", "<center>" * 40_000 + "text", "<p>a<x>" * 20_000, "<b x'" * 40_000, "<b x'\"" * 40_000, "<div a='>" * 40_000, "<li>x" * 20_000, "</div>" * 40_000, "<!" * 40_000, "<" * 80_000, "<div>x" * 20_000])
+def test_time_is_linear(page):
+    begin = time.process_time()
+    main_text(page[: len(page) // 4])
+    quarter = time.process_time() - begin
+    begin = time.process_time()
+    main_text(page)
+    assert time.process_time() - begin < 8 * quarter + 0.5
+
+
 def test_linked_blocks_of_the_article_stay():
     link = "<a href='x'>%s</a>"
     words = "A sentence of the article, with commas, which is long enough to be one."
