@@ -61,11 +61,37 @@ SENTENCES = {
     44: "this source code form is subject to the terms of the mozilla public license v",
     45: "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
     46: "spdx license identifier",
+    47: "this library is free software",
+    48: "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    49: "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    50: "either version 2 1 of the license or at your option any later version",
+    51: "this library is distributed in the hope that it will be useful but without any warranty",
+    52: "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    53: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    54: "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at https www eclipse org legal epl 2 0",
+    55: "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    56: "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    57: "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    58: "copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this notice are preserved",
     # Below 0: pieces that say nothing by themselves ("mit" is a word of German), so that they count in rules only.
     -1: "mit",
     -2: "apache 2 0",
     -3: "gpl 3 0 or later",
     -4: "bsd 3 clause",
+    -5: "bsd 2 clause",
+    -6: "gpl 2 0 only",
+    -7: "gpl 2 0 or later",
+    -8: "gpl 3 0 only",
+    -9: "lgpl 2 1 or later",
+    -10: "lgpl 3 0 or later",
+    -11: "agpl 3 0 or later",
+    -12: "mpl 2 0",
+    -13: "isc",
+    -14: "epl 2 0",
+    -15: "cc0 1 0",
+    -16: "unlicense",
+    -17: "cc by 4 0",
+    -18: "cc by sa 4 0",
 }
 #: (licence, kind, sequence of sentences). Longer rules come before those that are part of them.
 RULES = (
@@ -83,6 +109,30 @@ RULES = (
     ("CC-BY-NC-4.0", "non-commercial", (26,)),
     ("CC-BY-SA-4.0", "copyleft", (24,)),
     ("CC-BY-SA-4.0", "copyleft", (27,)),
+    *(("LGPL-2.1-or-later", "copyleft", (47, 48, 50, *hope)) for hope in ((51, 43), ())),
+    ("LGPL-3.0-or-later", "copyleft", (47, 49)),
+    ("LGPL-3.0-or-later", "copyleft", (47, 48, 40)),
+    ("LGPL-3.0-or-later", "copyleft", (36, 49)),
+    ("AGPL-3.0-or-later", "copyleft", (36, 52)),
+    ("EPL-2.0", "copyleft", (53,)),
+    ("EPL-2.0", "copyleft", (54,)),
+    ("CC0-1.0", "permissive", (55,)),
+    ("CC-BY-NC-SA-4.0", "non-commercial", (56,)),
+    ("FSFAP", "permissive", (58,)),
+    ("BSD-2-Clause", "permissive", (46, -5)),
+    ("GPL-2.0-only", "copyleft", (46, -6)),
+    ("GPL-2.0-or-later", "copyleft", (46, -7)),
+    ("GPL-3.0-only", "copyleft", (46, -8)),
+    ("LGPL-2.1-or-later", "copyleft", (46, -9)),
+    ("LGPL-3.0-or-later", "copyleft", (46, -10)),
+    ("AGPL-3.0-or-later", "copyleft", (46, -11)),
+    ("MPL-2.0", "copyleft", (46, -12)),
+    ("ISC", "permissive", (46, -13)),
+    ("EPL-2.0", "copyleft", (46, -14)),
+    ("CC0-1.0", "permissive", (46, -15)),
+    ("Unlicense", "permissive", (46, -16)),
+    ("CC-BY-4.0", "permissive", (46, -17)),
+    ("CC-BY-SA-4.0", "copyleft", (46, -18)),
     *(("GPL-2.0-or-later", "copyleft", (*terms, *hope)) for terms in ((20,), (36, 38), (36, 39, 41)) for hope in ((21,), (42, 43))),
     ("GPL-3.0-only", "copyleft", (17,)),
     ("GPL-3.0-only", "copyleft", (18,)),
@@ -100,12 +150,12 @@ RULES = (
 )
 #: Every known sentence holds one of these words, so a text without them has none of the sentences. Each is in one word: there may be any
 #: white space between two.
-WORDS = ("licen", "permi", "copyright", "warrant", "redistribut", "compliance", "reserved", "software", "unencumbered", "mpl", "mit", "apache", "gpl", "bsd")
+WORDS = ("licen", "permi", "copyright", "warrant", "redistribut", "compliance", "reserved", "software", "unencumbered", "mpl", "mit", "apache", "gpl", "bsd", "isc", "cc0", "epl", "cc", "domain")
 #: A sentence in normal form that is only the number of a list or of a version.
 NUMBER = "^[0-9]{1,3}( [0-9]{1,3}){0,3}$"
 
 BREAK = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|[\x0A\x0D]+"
-PARAGRAPH = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|\x0A[\x20\x09\x0D]*\x0A"
+PARAGRAPH = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|\x0A[\x20\x09\x0D#*/;-]*\x0A"
 
 
 def _identifiers(folded: Column, pattern: str) -> Column:
