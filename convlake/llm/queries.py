@@ -42,12 +42,13 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
-def _rolled_up(spark: SparkSession, sf_dir: str, counts: DataFrame, version: str) -> DataFrame:
-    """Documents come in with a guess of four characters a token, are counted, and those labelled toxic are taken out; that batch comes twice."""
+def _rolled_up(spark: SparkSession, sf_dir: str, counts: DataFrame, *versions: str) -> DataFrame:
+    """Documents come in with a guess of four characters a token for each tokenizer version, are counted by each, and those labelled toxic
+    are taken out; that batch comes twice."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     counts = store(counts, "token-counts")
     guess = docs.select("doc_id", "source", "lang", F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("n_tokens"))
-    guess = store(guess.withColumn("version", F.lit(version)), "token-guesses")
+    guess = store(guess.withColumn("version", F.explode(F.array(*map(F.lit, versions)))), "token-guesses")
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     rollup = TokenRollup(spark)
     rollup.commit(1, inserted(guess))
@@ -60,7 +61,7 @@ def _rolled_up(spark: SparkSession, sf_dir: str, counts: DataFrame, version: str
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return _rolled_up(spark, sf_dir, bpe_counts(docs), "byte_bpe_50k")
+    return _rolled_up(spark, sf_dir, bpe_counts(docs).unionByName(word_counts(docs)), "byte_bpe_50k", "words")
 
 
 def word_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

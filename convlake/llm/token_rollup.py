@@ -54,8 +54,9 @@ class TokenRollup:
     """Additive totals in a folder that all executors share, one table of aggregated changes for each committed batch.
 
     A batch is aggregated before it is written, and its table appears as a whole under its number or not at all (Spark's write commit), so
-    a batch that failed can be sent again, and one that was committed is not counted twice, whoever repeats it. compact() folds committed
-    batches into one table; the numbers it has folded are part of that table's name. Nulls in source or language are keys of their own.
+    a batch that failed can be sent again, and one that was committed is not counted twice, whoever repeats it. Batches may come in any
+    order. compact() folds committed batches into one table, and the numbers that it has folded into a table beside it, so a batch that
+    comes late still counts once. Nulls in source or language are keys of their own; rows that repeat an id are documents of their own.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
@@ -65,21 +66,26 @@ class TokenRollup:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _tables(self) -> tuple[list[str], list[int], int]:
-        """The tables that count, the numbers of the batches among them, and the last number that compact() has folded (-1: none)."""
+    def _done(self) -> list[str]:
+        """The names of all complete tables."""
         fs, root = self._fs()
         names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = [n for n in names if fs.exists(root.suffix(f"/{n}/_SUCCESS"))]
-        folded = max((int(n.removeprefix("upto-")) for n in done if n.startswith("upto-")), default=-1)
-        later = sorted(b for n in done if n.startswith("batch-") and (b := int(n.removeprefix("batch-"))) > folded)
-        return [f"upto-{folded}"] * (folded >= 0) + [f"batch-{b}" for b in later], later, folded
+        return [n for n in names if fs.exists(root.suffix(f"/{n}/_SUCCESS"))]
+
+    def _tables(self) -> tuple[list[str], list[int], int, set[int]]:
+        """The tables that count, the numbers of the batches among them, and the last folded table's number (0: none) and its batches."""
+        done = self._done()
+        turn = max((int(n.removeprefix("folded-")) for n in done if n.startswith("folded-")), default=0)
+        folded = {r.batch for r in self.spark.read.parquet(f"{self.root}/numbers-{turn}").collect()} if turn else set()
+        later = sorted(b for n in done if n.startswith("batch-") and (b := int(n.removeprefix("batch-"))) not in folded)
+        return [f"folded-{turn}"] * (turn > 0) + [f"batch-{b}" for b in later], later, turn, folded
 
     def committed(self, batch: int) -> bool:
-        _, later, folded = self._tables()
-        return batch <= folded or batch in later
+        _, later, _, folded = self._tables()
+        return batch in folded or batch in later
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
-        """Counts the changes of a batch; numbers rise. False if that number was committed already: nothing is read or written then."""
+        """Counts the changes of a batch. False if that number was committed already: nothing is read or written then."""
         if self.committed(batch):
             return False
         changes.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.root}/batch-{batch}")
@@ -87,17 +93,20 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens of all documents there are; keys without documents and tokens are gone."""
-        tables, _, _ = self._tables()
+        tables, *_ = self._tables()
         if not tables:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.root}/{t}" for t in tables))
         return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """Folds all committed batches into one table. An older table counts until the new one is complete."""
-        tables, later, folded = self._tables()
+        """Folds all committed batches into one table. Their numbers are written first and count as soon as the table is complete; older
+        tables count until then."""
+        tables, later, turn, folded = self._tables()
         if later:
-            self.totals().write.mode("overwrite").parquet(f"{self.root}/upto-{later[-1]}")
+            numbers = self.spark.createDataFrame([(b,) for b in sorted(folded | set(later))], "batch long")
+            numbers.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/numbers-{turn + 1}")
+            self.totals().write.mode("overwrite").parquet(f"{self.root}/folded-{turn + 1}")
             fs, root = self._fs()
-            for t in tables:
+            for t in [*tables, f"numbers-{turn}"]:
                 fs.delete(root.suffix(f"/{t}"), True)
