@@ -11,15 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convlake.llm.common import discard, store
 from convlake.llm.ngram_join import _mix
 
 #: Indicators (a power of two); n-grams are hashed into them.
 DIMENSIONS = 1 << 18
 #: Labelled rows that the model is fitted on, at most about; chosen by a hash of the id.
 SAMPLE = 6_000
+#: Indicators of all those rows together, at most: 4 bytes each at the driver. Rows beyond that, in the order of the same hash, are left out.
+MOST_INDICATORS = 50_000_000
 SHAPE_GRAMS, REPEAT_GRAMS = (1, 2, 3, 4, 5), (1, 2, 3, 4)
 ALPHA, COST, ROUNDS = 1.0, 1.0, 12
 THRESHOLD = 0.3
@@ -145,11 +148,11 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
-    """A model of labels (id, 0 or 1) of rows that are not held out, over at most about `sample` of them.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most_indicators: int = MOST_INDICATORS) -> QualityModel:
+    """A model of labels (id, 0 or 1) of rows that are not held out, over at most about `sample` of them and `most_indicators` indicators.
 
-    The rows are chosen by a hash of their id, so the broadcast side is bounded by `sample` and no text is shuffled. Rows without label or
-    text, and ids with two different labels, are not learnt from.
+    The rows are chosen by a hash of their id, so the broadcast side is bounded by `sample`. Rows without label or text, and ids with two
+    different labels, are not learnt from; of rows that share an id one is, the one with the least text.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("fit_id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z")
     total = known.count()
@@ -165,9 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], batch.column(1)[i : i + 1], pa.array([active.tobytes()], pa.binary())], names=["fit_id", "y", "active"])
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("fit_id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(chosen), "fit_id").select("fit_id", "y", "text").mapInArrow(read, "fit_id long, y int, active binary").toArrow().sort_by("fit_id")
-    active = [np.frombuffer(x.as_py(), np.int32) for x in rows.column("active")]
-    return fit_rows(active, rows.column("y").to_numpy() == 1)
+    rows = rows.join(F.broadcast(chosen), "fit_id").groupBy("fit_id", "y").agg(F.min("text").alias("text"))
+    read_rows = store(rows.mapInArrow(read, "fit_id long, y int, active binary"), "quality-rows")
+    sized = read_rows.select("fit_id", (F.length("active") / 4).alias("n"), F.xxhash64(F.lit(8), "fit_id").alias("h"))  # `sample` rows at most
+    running = F.sum("n").over(Window.orderBy(F.pmod("h", F.lit(1 << 30)), "fit_id"))
+    few = sized.select("fit_id", running.alias("running")).where(F.col("running") <= most_indicators).select("fit_id")
+    table = read_rows.join(F.broadcast(few), "fit_id").toArrow().sort_by("fit_id")
+    discard(read_rows)
+    active = [np.frombuffer(x.as_py(), np.int32) for x in table.column("active")]
+    return fit_rows(active, table.column("y").to_numpy() == 1)
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
