@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,7 +25,8 @@ COSINE, RECALL = 0.98, 0.999
 SAMPLE = 16_384
 #: Vectors of one cell that a task compares at a time with as many others.
 BLOCK = 1_024
-CENTROIDS = 256
+#: Centroids of a codebook at most. Their number grows with the root of the vectors, so that a cell holds about PER_CELL of them.
+CENTROIDS, PER_CELL = 2_048, 64
 
 
 def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +90,7 @@ def visits(s1: np.ndarray, s2: np.ndarray, limit: float) -> list[tuple[int, int]
 
 def _unit(vectors: list, width: int) -> np.ndarray:
     x = np.array(vectors, np.float64).reshape(len(vectors), width)
+    x = x / np.abs(x).max(1, initial=0)[:, None]  # squares of very small or large numbers stay what they are
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
@@ -144,28 +147,8 @@ def _compare(width: int, cosine: float):
     return run
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, recall: float = RECALL, sample: int = SAMPLE, centroids: int | None = None, block: int = BLOCK) -> DataFrame:
-    """One row per vector: vec_id, n_links (others linked directly), component_id (smallest id that links reach), kept.
-
-    Vectors link when their labels are equal and not null and their cosine, in double precision, is at least `cosine`. Equal vectors are
-    compared once, as one with a count. A vector that is null, empty or all zero, or holds a null or non-finite number, links with nothing,
-    nor does one of another width than most; it is kept, as is a row without id (its component is null). Rows that share an id, label and
-    vector are copies of each other. An empty table gives an empty result. Only the three named columns are read.
-
-    The codebooks are fitted on about `sample` vectors (a bound), chosen by hash; every vector is filed and every vector is asked. Each
-    vector finds its links with at least the target recall (1: all of them); the tests measure it against all pairs. Cells are compared in blocks of about `block` rows, so a cell with any number of near copies is
-    spread over many tasks, and only counts and links that span a block's components leave a task.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("string").alias("label"))
-    good = F.forall("vector", lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)) & F.exists("vector", lambda v: v != 0)
-    usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(good, F.lit(False)))
-    widths = usable.groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if widths is None:
-        return alone
-    width = widths["w"]
-    usable = usable.where(F.size("vector") == width)
+def _linked(usable: DataFrame, width: int, cosine: float, recall: float, sample: int, centroids: int | None, block: int) -> DataFrame:
+    """(label, vector, n_links, component_id) of each different vector of one width."""
     classes = store(usable.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
 
     n = classes.count()
@@ -173,7 +156,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     fit = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(part * (1 << 30))).orderBy("rep").select("vector").toPandas()
     if not len(fit):
         fit = classes.limit(1).select("vector").toPandas()
-    k = centroids or int(min(CENTROIDS, max(4, 2 ** round(np.log2(max(1, n / 64)) / 2))))
+    k = centroids or int(min(CENTROIDS, max(4, 2 ** round(np.log2(max(1, n / PER_CELL)) / 2))))
     books = tuple(codebook(h, k) for h in _halves(_unit(fit["vector"].tolist(), width)))
     cells = classes.select("rep", "vector").mapInPandas(_filer(books, width, limit_of(cosine, recall, width)), "rep long, side int, c1 int, c2 int")
     filed = store(cells.join(classes, "rep").select("label", "c1", "c2", "side", "rep", "copies", "vector"), "filed-vectors")
@@ -192,10 +175,32 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     counts = met.groupBy("rep").agg(F.sum("found").alias("found"))
     joined = components(met.where("rep <> other"), "rep", "other").withColumnRenamed("id", "rep")
-    known = classes.join(counts, "rep", "left").join(joined, "rep", "left").select(
+    return classes.join(counts, "rep", "left").join(joined, "rep", "left").select(
         "label", "vector", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    known = known.select("label", "vector", "n_links", "component_id")
+
+
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, recall: float = RECALL, sample: int = SAMPLE, centroids: int | None = None, block: int = BLOCK) -> DataFrame:
+    """One row per vector: vec_id, n_links (others linked directly), component_id (smallest id that links reach), kept.
+
+    Vectors link when their labels are equal and not null and their cosine, in double precision, is at least `cosine`. Equal vectors are
+    compared once, as one with a count. Vectors of different widths do not link; each width has its own codebooks. A vector that is null,
+    empty or all zero, or holds a null or non-finite number, links with nothing; it is kept, as is a row without id (its component is null). Rows that share an id, label and
+    vector are copies of each other. An empty table gives an empty result. Only the three named columns are read.
+
+    The codebooks are fitted on about `sample` vectors (a bound), chosen by hash; every vector is filed and every vector is asked. Each
+    vector finds its links with at least the target recall (1: all of them); the tests measure it against all pairs. Cells are compared in blocks of about `block` rows, so a cell with any number of near copies is
+    spread over many tasks, and only counts and links that span a block's components leave a task.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("string").alias("label"))
+    good = F.forall("vector", lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)) & F.exists("vector", lambda v: v != 0)
+    usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(good, F.lit(False)))
+    widths = [r.w for r in usable.groupBy(F.size("vector").alias("w")).count().orderBy("w").collect()]
+    if not widths:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    known = [_linked(usable.where(F.size("vector") == w), w, cosine, recall, sample, centroids, block) for w in widths]
+    known = reduce(DataFrame.unionByName, known)
     out = rows.alias("r").join(known.alias("k"), (F.col("r.label") == F.col("k.label")) & (F.col("r.vector") == F.col("k.vector")) & F.col("r.vec_id").isNotNull(), "left")
     return out.select(
         "vec_id",

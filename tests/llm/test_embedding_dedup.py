@@ -81,3 +81,10 @@ def test_recall_against_all_pairs(spark):
     links = ((x @ x.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)).sum(1)
     found = np.array([got[i] for i in range(len(x))])
     assert (found <= links).all() and found.sum() >= 0.99 * links.sum() and links.sum() > 500
+
+
+def test_widths_tiny_components_and_repeated_rows(spark):
+    schema = "vec_id long, embedding array<double>, label string"
+    rows = [(1, [1.0, 2.0], "a"), (2, [1.0, 2.0], "a"), (3, [1.0, 2.0], "b"), (4, [1.0, 2.0, 0.0, 0.0], "a"), (5, [1.0, 2.0, 0.0, 0.01], "a"), (6, [5.0, 0.0, 0.0, 1.0], "a"), (7, [1e-200, 2e-200, 0.0, 0.0], "a"), (8, [1e200, 2e200, 0.0, 0.0], "a"), (9, [2.0, 4.0], "a"), (9, [2.0, 4.0], "a")]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (4, 3, 4, True), (5, 3, 4, False), (6, 0, 6, True), (7, 3, 4, False), (8, 3, 4, False), (9, 3, 1, False), (9, 3, 1, False)]

@@ -245,6 +245,96 @@ def test_license_rules_match_published_texts(spark):
     assert not any(w.split()[1:] for w in license_scan.WORDS)
 
 
+def test_more_license_notices_in_plain_and_commented_form(spark):
+    terms = "you can redistribute it and/or\nmodify it under the terms of the GNU {} General Public\nLicense as published by the Free Software Foundation{} either\nversion {} of the License, or (at your option) any later version.\n\n"
+    hope = "This {} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.\n"
+    notices = [
+        ("This library is free software; " + terms.format("Lesser", ";", "2.1") + hope.format("library"), "LGPL-2.1-or-later"),
+        ("This library is free software: " + terms.format("Lesser", ",", "3") + hope.format("library"), "LGPL-3.0-or-later"),
+        ("This program is free software: " + terms.format("Affero", ",", "3") + hope.format("program"), "AGPL-3.0-or-later"),
+        ("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n", "EPL-2.0"),
+        ("To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain worldwide.\n", "CC0-1.0"),
+        ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software.\n", "Unlicense"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n", "ISC"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.\n", "CC-BY-SA-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+        *((f"SPDX-License-Identifier: {x}\n", x) for x in ("BSD-2-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MPL-2.0", "ISC", "EPL-2.0", "CC0-1.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0")),
+    ]
+    forms = [lambda t: t, lambda t: "/*\n * " + t.replace("\n", "\n * ") + "/", lambda t: "# " + t.replace("\n", "\n# ") + "\nx = 1", lambda t: "// " + t.replace("\n", "\n// ").upper()]
+    rows = [(i * 10 + k, form(t)) for i, (t, _) in enumerate(notices) for k, form in enumerate(forms)]
+    got = {r.doc_id: r.licenses for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got == {i * 10 + k: x for i, (_, x) in enumerate(notices) for k in range(len(forms))}
+    plain = ["The program is free software to me.", "Version 3 of the license, or any later one, is what I read.", "mit ISC cc0 1.0 EPL 2.0", "All rights  reserved."]
+    got = {r.doc_id: (r.licenses, r.sentence_ids) for r in license_scan.license_scan(frame(spark, list(enumerate(plain)))).collect()}
+    assert got == {0: ("", ""), 1: ("", ""), 2: ("", ""), 3: ("", "30")}
+    long = "word and word. " * 200_000 + notices[0][0] + "word. " * 10
+    got = license_scan.license_scan(frame(spark, [(1, long), (1, long)])).collect()
+    assert [r.licenses for r in got] == ["LGPL-2.1-or-later"] * 2
+
+
+def test_a_late_batch_counts_after_compacting(spark):
+    one = spark.createDataFrame([(1, "a", "en", "v1", 10)], "doc_id long, source string, lang string, version string, n_tokens long")
+    rollup = token_rollup.TokenRollup(spark)
+    read = lambda: [(r.docs, r.tokens) for r in rollup.totals().collect()]
+    assert rollup.commit(1, token_rollup.inserted(one)) and rollup.commit(3, token_rollup.inserted(one))
+    rollup.compact()
+    assert not rollup.commit(1, token_rollup.inserted(one)) and not rollup.commit(3, token_rollup.inserted(one)) and read() == [(2, 20)]
+    assert rollup.commit(2, token_rollup.inserted(one)) and read() == [(3, 30)]
+    rollup.compact()
+    rollup.compact()
+    again = token_rollup.TokenRollup(spark, rollup.root)
+    assert [again.committed(i) for i in range(5)] == [False, True, True, True, False] and read() == [(3, 30)]
+    assert again.commit(4, token_rollup.deleted(one.unionByName(one))) and read() == [(1, 10)]
+
+
+def test_rollup_of_empty_repeated_and_long_rows(spark, tmp_path):
+    from convlake.llm import queries
+
+    schema = "doc_id long, text string, lang string, source string, version int, docs int, tokens int"
+    for name, rows in (("none", []), ("some", [(1, "a b", "en", "s", 1, 1, 1), (1, "a b", "en", "s", 1, 1, 1), (2, "x " * 300_000, None, None, 1, 1, 1), (None, None, "de", "s", 1, 1, 1)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert queries.op6_token_counts(spark, f"{tmp_path}/none").count() == 0
+    got = {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in queries.op6_token_counts(spark, f"{tmp_path}/some").collect()}
+    assert got == {("s", "en", "byte_bpe_50k"): (2, 4), ("s", "en", "words"): (2, 4), (None, None, "byte_bpe_50k"): (1, 300_001), (None, None, "words"): (1, 300_000), ("s", "de", "byte_bpe_50k"): (1, 0), ("s", "de", "words"): (1, 0)}
+
+
+def test_dual_coordinate_descent_reaches_the_minimum():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(3, 12))).astype(np.int32) for _ in range(60)]
+    good, ratios = rng.random(60) > 0.4, np.zeros(quality.DIMENSIONS)
+    ratios[:40] = rng.normal(size=40)
+    own = quality.dual_coordinate_descent(rows, good, ratios, cost=1.0, rounds=2_000)
+    x = np.zeros((60, 40))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r] / np.sqrt(len(r))
+    y, most = np.where(good, 1.0, -1.0), np.where(good, 60 / (2 * good.sum()), 60 / (2 * (~good).sum()))
+    primal = lambda w: 0.5 * w @ w + (most * np.maximum(0, 1 - y * (x @ w))).sum()
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh((x @ x.T) * np.outer(y, y)).max()
+    for _ in range(50_000):  # plain projected gradient on the dual
+        alpha = np.clip(alpha - step * (y * (x @ (x.T @ (alpha * y))) - 1), 0, most)
+    w = own[:40] / np.where(ratios[:40] == 0, 1, ratios[:40])
+    assert primal(w) <= primal(x.T @ (alpha * y)) * 1.001 + 1e-6
+
+
+def test_log_count_ratios():
+    rows, good = [np.array([0, 1]), np.array([0, 2]), np.array([0, 1, 2])], np.array([True, False, True])
+    got, a = quality.log_count_ratios(rows, good), quality.ALPHA
+    share = lambda k, n: (k + a) / (n + 2 * a)
+    assert np.allclose(got[:4], np.log([share(2, 2) / share(1, 1), share(2, 2) / share(0, 1), share(1, 2) / share(1, 1), share(0, 2) / share(0, 1)]))
+
+
+def test_quality_of_repeated_and_long_rows(spark):
+    text = "Some words that are good enough, in a sentence. "
+    rows = [(i, text * (1 + i % 7) if i % 2 else "BAD!! " * (1 + i % 9)) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    once = {r.doc_id: r.score for r in quality.quality(frame(spark, rows), labels).collect()}
+    thrice = quality.quality(frame(spark, rows * 3 + [(500, text * 40_000), (501, None)]), labels).collect()
+    assert len(thrice) == 602 and all(abs(once[r.doc_id] - r.score) < 1e-9 for r in thrice if r.doc_id in once)
+    few = quality.fit(frame(spark, rows), labels, most_indicators=2_000)
+    assert few.score(rows[1][1]) > few.score(rows[0][1])
+
+
 def test_quality(spark):
     rng = random.Random(5)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "te") for b in ("n", "r", "st", "ve")]
