@@ -52,7 +52,7 @@ SKETCH, SKETCH_BITS, FIRST = 8, 4, 16
 LEADS = 4
 #: Sets of a group that are compared at a time with as many others.
 GROUP_BLOCK = 1_024
-#: Nearest partners of a set in a group that are compared by texts in the first round, and how many times more in each further one.
+#: Nearest pairs of a component in a group that are compared by texts in the first round, and how many times more in each further one.
 NEAREST, MORE = 2, 8
 
 _M = (1 << 64) - 1
@@ -325,8 +325,8 @@ def _sketched(percent: int):
 
 def _grouped(percent: int, nearest: int):
     """For rows (sig, cell, side, doc_id, component, n, few), sorted by sig and cell: pairs (a, b) of sets of one cell that are in different
-    components, on different sides where a cell has two, and near enough by the first numbers of their sketches, but for each set only
-    those with so many nearest others. The rows (sig, cell, side, a) of cells in which some set has more are given back."""
+    components, on different sides where a cell has two, and near enough by the first numbers of their sketches, but for each component
+    of a cell only its so many nearest. A row (sig, cell) for each cell that has more."""
 
     def edges(x) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         group = ((x["sig"] != x["sig"].shift()) | (x["cell"] != x["cell"].shift())).cumsum().to_numpy()
@@ -356,15 +356,20 @@ def _grouped(percent: int, nearest: int):
         import pandas as pd
 
         group, i, j, differ = edges(x)
-        one, two, differ = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differ, differ])
-        order = np.lexsort((differ, one))
-        one, two = one[order], two[order]
-        kept = np.arange(len(one)) - np.searchsorted(one, one) < nearest
-        again = np.isin(group, group[one[~kept]])
+        ends, component = np.concatenate([i, j]), x["component"].to_numpy()
+        order = np.lexsort((np.tile(differ, 2), component[ends], group[ends]))
+        g, c = group[ends[order]], component[ends[order]]
+        first = np.ones(len(g), bool)
+        first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        place = np.arange(len(g)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(g) else g
+        kept = np.zeros(len(g), bool)
+        kept[order[place < nearest]] = True
+        kept = kept[: len(i)] | kept[len(i) :]
         ids = x["doc_id"].to_numpy()
-        a, b = ids[one[kept]], ids[two[kept]]
+        a, b = ids[i[kept]], ids[j[kept]]
         pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-        return pd.concat([pairs.assign(sig=None, cell=None, side=None), x[again][["sig", "cell", "side"]].assign(a=ids[again], b=None)])[["sig", "cell", "side", "a", "b"]].astype("Int64")
+        more = x.iloc[np.searchsorted(group, np.unique(group[i[~kept]]))][["sig", "cell"]]
+        return pd.concat([pairs.assign(sig=None, cell=None), more.assign(a=None, b=None)])[["sig", "cell", "a", "b"]].astype("Int64")
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -448,14 +453,12 @@ def _torn_groups(met: DataFrame, known: DataFrame, group_block: int) -> DataFram
     return store(members.select("sig", (low.cast("long") * F.col("blocks") + high).alias("cell"), side.cast("long").alias("side"), F.col("class_id").alias("a")), "torn-groups")
 
 
-def _open_pairs(torn: DataFrame, known: DataFrame, percent: int, nearest: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to compare next of sets of torn groups, and the rows of groups that have more of them. The old rows are used up."""
-    cells = torn.join(known.select(F.col("class_id").alias("a"), "component", "n", "few"), "a").select("sig", "cell", "side", F.col("a").alias("doc_id"), "component", "n", "few")
-    out = cells.repartition("sig", "cell").sortWithinPartitions("sig", "cell").mapInPandas(_grouped(percent, nearest), "sig long, cell long, side long, a long, b long")
+def _open_pairs(cells: DataFrame, known: DataFrame, percent: int, nearest: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to compare next of sets of torn groups, and (sig, cell) of the cells that have more of them."""
+    cells = cells.join(known.select(F.col("class_id").alias("a"), "component", "n", "few"), "a").select("sig", "cell", "side", F.col("a").alias("doc_id"), "component", "n", "few")
+    out = cells.repartition("sig", "cell").sortWithinPartitions("sig", "cell").mapInPandas(_grouped(percent, nearest), "sig long, cell long, a long, b long")
     out = store(out, "open-pairs")
-    for used in (torn, known):
-        discard(used)
-    return out.where("b IS NOT NULL").select("a", "b").distinct(), out.where("b IS NULL").select("sig", "cell", "side", "a")
+    return out.where("b IS NOT NULL").select("a", "b").distinct(), out.where("b IS NULL").select("sig", "cell")
 
 
 def ngram_jaccard_join(
@@ -467,8 +470,8 @@ def ngram_jaccard_join(
 
     Equal sets are one class. In each group of sets that share a signature, every set is compared with the group's lead first; the
     links found make components, and only sets of a group that are in different components still are compared with each other, by
-    sketches inside blocks of the group. Of pairs near enough by their sketches each set's nearest are compared by whole texts, shingle by
-    shingle as 64-bit hashes; that is repeated with more of them for groups still in different components, until none is left out. So a
+    sketches inside blocks of the group. Of pairs near enough by their sketches each component's nearest are compared by whole texts, shingle
+    by shingle as 64-bit hashes; that is repeated with more of them for groups still in different components, until none is left out. So a
     group of thousands of near copies costs a few comparisons a copy, and yet no two texts that should be linked are left apart.
 
     Null, empty or blank text: no shingles, linked with nothing. A row with a null id keeps a null component. Rows that share an id are one
@@ -490,20 +493,21 @@ def ngram_jaccard_join(
     known = _known(classes, found)
     torn, nearest = _torn_groups(met, known, group_block), NEAREST
     discard(met)
+    cells = torn
     while True:
-        near, torn = _open_pairs(torn, known, percent, nearest)
-        near = _candidates(near, classes, "class_id", percent)
-        if near.isEmpty() and torn.isEmpty():
-            break
-        more = _verified(near, rows, words, percent)
-        if not more.isEmpty():
-            both = store(links.unionByName(more), "verified-links")
-            for used in (links, more, found):
-                discard(used)
-            links, found = both, store(components(both), "components")
-        if torn.isEmpty():
+        near, more = _open_pairs(cells, known, percent, nearest)
+        pairs = _candidates(near, classes, "class_id", percent)
+        if not pairs.isEmpty():
+            new = _verified(pairs, rows, words, percent)
+            if not new.isEmpty():
+                both = store(links.unionByName(new), "verified-links")
+                for used in (links, new, found, known):
+                    discard(used)
+                links, found = both, store(components(both), "components")
+                known = _known(classes, found)
+        if more.isEmpty():
             break
-        known, nearest = _known(classes, found), nearest * MORE
+        cells, nearest = torn.join(more, ["sig", "cell"], "left_semi"), nearest * MORE
 
     classed = sets.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "class_id"), ["s1", "s2"], "left")
     final = classed.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
