@@ -18,7 +18,8 @@ MARKED, BASE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaa
 # What outputs of commands say.
 FAILED = r"(?m)RETRYABLE|not found in the current file|^Error|\bError:|Traceback|No such file|command not found|exit code [1-9]|exited with code [1-9]|ENOENT|EACCES"
 SUCCEEDED = r"^\s*(Successfully|Created|Updated|Wrote|OK\b)"
-EXIT = r"(?:exited with code|exit code:?) (\d+)"
+EXIT = r"(?i)(?:exited with code |exit(?:ed)? (?:status|code)[:= ]+)(\d+)"
+ERROR_OUTPUT = r"Error|error|ERR!|Traceback|failed|FAIL|not found|No such file|denied|Cannot|cannot|Unexpected|undefined|exception"
 ERROR_LINE = r"(?i)\b(error|exception|traceback|failed|fatal)\b"
 CHARS_PER_TOKEN = 3.5
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +27,27 @@ def take_until_overflow(df: DataFrame, keys: list[str], order: list, budget: int
     return df.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
-def take_what_fits(df: DataFrame, keys: list[str], order: list[str], budget: int, size: str = "tokens", item: str = "rid") -> DataFrame:
-    """keys, item: rows in order, passing over each that does not fit.
+def take_what_fits(df: DataFrame, keys: list[str], order: list, budget: int, size: str = "tokens", item: str = "rid", most: int | None = None) -> DataFrame:
+    """keys, item: rows in order, passing over each that does not fit or comes when `most` are taken already.
 
-    The choice is an ordered fold over a group's sizes; groups are conversations, whose rows fit in a row.
+    A group's rows pass through one task in order and nothing but its running total is held, so groups may be of any size.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("_size"), F.col(item).alias("_item"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("items"))
-    step = lambda a, x: F.when(a["used"] + x["_size"] > budget, a).otherwise(F.struct((a["used"] + x["_size"]).alias("used"), F.concat(a["items"], F.array(x["_item"])).alias("items")))
-    return df.groupBy(*keys).agg(rows.alias("rows")).select(*keys, F.explode(F.aggregate("rows", start, step)["items"]).alias(item))
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, item, F.col(size).cast("long").alias("_size"))
+
+    def run(batches: Iterator) -> Iterator:
+        group, used, n = None, 0, 0
+        for batch in batches:
+            taken = []
+            names = batch[keys].astype(object).where(batch[keys].notna(), None)
+            for key, one in zip(names.itertuples(index=False, name=None), batch["_size"].tolist()):
+                if key != group:
+                    group, used, n = key, 0, 0
+                fits = used + one <= budget and (most is None or n < most)
+                used, n = used + one * fits, n + fits
+                taken.append(fits)
+            yield batch[taken].drop(columns="_size")
+
+    return rows.mapInPandas(run, rows.drop("_size").schema)
 
 
 def oldest_until(df: DataFrame, keys: list[str], order: list, target: Column, saving: str = "saving", least: int = 0) -> DataFrame:

@@ -90,33 +90,40 @@ def passages(pieces: DataFrame, content: str = "content", window: int = WINDOW,
     return rows.withColumn("passage", F.substring(F.col(content), F.col("off") + 1, F.lit(window))).withColumn("len", F.length("passage")).drop("part")
 
 
-def snapped_windows(pieces: DataFrame, id_col: str = "rid", content: str = "content", window: int = WINDOW, step: int = STEP) -> DataFrame:
-    """Passages whose ends lie behind a line end where there is one in the second half of a window: rid, off, len.
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
 
-    Each begins where the last one's end and the text's lines allow, so a text is cut in order; texts are cut independently.
-    """
 
-    def cut(text: str) -> list[tuple[int, int]]:
-        out, off, n = [], 0, len(text)
-        while True:
-            end = min(n, off + window)
-            if end < n and (line := text.rfind("\n", off + window // 2, end)) >= 0:
-                end = line + 1
-            out.append((off, end - off))
-            if end >= n:
-                return out
-            following = min(off + step, end)
-            line = text.rfind("\n", following - 80, following)
-            off = line + 1 if line >= 0 and line + 1 > off else following
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = [(rid, *w) for rid, text in zip(batch[id_col], batch[content]) for w in cut(text or "")]
-            yield pd.DataFrame(rows, columns=[id_col, "off", "len"])
-
-    return pieces.select(id_col, content).mapInPandas(run, f"{id_col} string, off int, len int")
+def snapped_windows(pieces: DataFrame, id_col: str = "rid", content: str = "content", window: int = WINDOW, step: int = STEP, near: int = 80) -> DataFrame:
+    """Passages that begin and end behind line ends where there are some near: id, off, len. Ids are unique; a null text is an empty one.
+
+    A window ends behind the last line end of its second half. The next one begins `step` later (or where it ended, if that is earlier),
+    or behind the first line end of the `near` characters before that place. Places of line ends are running sums over a text's lines; the
+    windows are an ordered fold over them.
+    """
+    lines = pieces.select(id_col, F.posexplode(F.split(F.coalesce(content, F.lit("")), "\n", -1)).alias("pos", "line"))
+    behind = F.sum(F.length("line") + 1).over(Window.partitionBy(id_col).orderBy("pos"))
+    texts = lines.select(id_col, behind.cast("int").alias("behind")).groupBy(id_col).agg(F.array_sort(F.collect_list("behind")).alias("ends"))
+    texts = texts.select(id_col, (F.element_at("ends", -1) - 1).alias("n"), F.slice("ends", F.lit(1), F.size("ends") - 1).alias("ends"))
+    among = lambda low, high: F.filter("ends", lambda e: (e > low) & (e <= high))
+
+    def stop(off: Column) -> Column:
+        snapped = F.coalesce(F.array_max(among(off + window // 2, off + window)), off + window)
+        return F.when(off + window >= F.col("n"), F.col("n")).otherwise(snapped)
+
+    def following(off: Column, end: Column) -> Column:
+        plain = F.least(off + step, end)
+        return _let(plain, lambda p: _let(F.array_min(among(p - near, p)), lambda e: F.when(e > off + 1, e).otherwise(p)))
+
+    def add(state: Column, _: Column) -> Column:
+        windows, off = state["windows"], state["off"]
+        grown = _let(stop(off), lambda end: F.struct(F.concat(windows, F.array(F.struct(off.alias("off"), (end - off).alias("len")))).alias("windows"), F.when(end < F.col("n"), following(off, end)).alias("off")))
+        return F.when(off.isNull(), state).otherwise(grown)
+
+    start = F.struct(F.array().cast("array<struct<off:int,len:int>>").alias("windows"), F.lit(0).alias("off"))
+    turns = F.sequence(F.lit(0), (F.col("n") / (min(window // 2, step) - near)).cast("int") + 1)  # a window moves on by more than that
+    return texts.select(id_col, F.inline(F.aggregate(turns, start, add)["windows"]))
 
 
 def best_per(scored: DataFrame, *keys: str) -> DataFrame:

@@ -340,13 +340,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "ag08_common_terms",
-    "WITH <archive>, t AS (SELECT DISTINCT rid, unnest(regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')) AS term FROM archive) SELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) > 0.4 * (SELECT count(DISTINCT rid) FROM archive)".replace("\\\\", "\\"),
+    "WITH <archive>, t AS (SELECT DISTINCT rid, unnest(regexp_extract_all(translate(lower(content), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')) AS term FROM archive) SELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) > 0.4 * (SELECT count(DISTINCT rid) FROM archive) AND (SELECT count(DISTINCT rid) FROM archive) >= 8".replace("\\\\", "\\"),
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = archive(spark, d)
     n = rows.agg(F.count_distinct("rid").alias("n"))
     counts = rows.select("rid", F.explode(F.array_distinct(X.terms(F.col("content")))).alias("term")).groupBy("term").agg(F.count_distinct("rid").alias("df"))
-    return counts.crossJoin(F.broadcast(n)).where("df > 0.4 * n").select("term", "df")  # n is one row
+    return counts.crossJoin(F.broadcast(n)).where("n >= 8 AND df > 0.4 * n").select("term", "df")  # n is one row
 
 
 @query("ag12_turn_rollup", "WITH <ops>, t AS (SELECT *, count(*) FILTER (op = 'write') OVER (PARTITION BY conv ORDER BY idx) AS turn FROM ops) SELECT conv, turn, count(DISTINCT path) AS files, count(*) AS n_ops, count(*) FILTER (op = 'bash') AS commands, count(*) FILTER (failed) AS failures, array_to_string(list_sort(list(DISTINCT path) FILTER (failed))[1:2], ',') AS first_failed FROM t GROUP BY conv, turn")

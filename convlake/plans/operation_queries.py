@@ -348,11 +348,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("conv").agg(F.count_if(F.col("old") != F.col("new")).alias("moved"), F.max(F.abs(F.col("old") - F.col("new"))).alias("farthest"))
 
 
-@query("wn11_prune_by_size", "WITH r AS (SELECT source, doc_id, length(text) AS n, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id DESC) AS used, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS newest FROM documents) SELECT source, doc_id FROM r WHERE newest <= 5 AND used <= 12000")
+@query(
+    "wn11_prune_by_size",
+    """WITH RECURSIVE o AS (SELECT source, doc_id, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents),
+       f AS (SELECT source, 0::BIGINT AS k, 0::BIGINT AS used, 0 AS taken, NULL::BIGINT AS doc_id FROM (SELECT DISTINCT source FROM documents)
+             UNION ALL SELECT o.source, o.k, f.used + CASE WHEN fits THEN o.n ELSE 0 END, f.taken + fits::INT, CASE WHEN fits THEN o.doc_id END
+             FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.k = f.k + 1, LATERAL (SELECT f.used + o.n <= 12000 AND f.taken < 5 AS fits))
+       SELECT source, doc_id FROM f WHERE doc_id IS NOT NULL""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    newest = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))
-    rows = read(spark, d, "documents").select("source", "doc_id", F.length("text").alias("n"), newest.alias("newest"))
-    return budget.take_until_overflow(rows, ["source"], [F.desc("doc_id")], 12000, "n").where("newest <= 5").select("source", "doc_id")
+    rows = read(spark, d, "documents").select("source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    return budget.take_what_fits(rows, ["source"], [F.desc("doc_id")], 12000, "n", "doc_id", most=5)
 
 
 @query("ss01_journal_stream", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")

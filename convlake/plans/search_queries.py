@@ -81,10 +81,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.passages(read(spark, d, "documents"), "text").select("doc_id", "off", "len", F.sha2("passage", 256).alias("hash"))
 
 
-@query("ft08_snapped_windows")
+@query(
+    "ft08_snapped_windows",
+    """WITH RECURSIVE l AS (SELECT doc_id, u.pos, length(u.line) + 1 AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents) d, LATERAL (SELECT unnest(d.a) AS line, generate_subscripts(d.a, 1) AS pos) u),
+       c AS (SELECT doc_id, pos, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS behind FROM l),
+       t AS (SELECT doc_id, max(behind) - 1 AS n, list(behind ORDER BY pos)[:-2] AS ends FROM c GROUP BY doc_id),
+       w AS (SELECT doc_id, n, ends, 0::BIGINT AS off, CASE WHEN 700 >= n THEN n ELSE coalesce(list_max(list_filter(ends, lambda e: e > 350 AND e <= 700)), 700) END AS stop FROM t
+             UNION ALL
+             SELECT doc_id, n, ends, off, CASE WHEN off + 700 >= n THEN n ELSE coalesce(list_max(list_filter(ends, lambda e: e > off + 350 AND e <= off + 700)), off + 700) END
+             FROM (SELECT doc_id, n, ends, CASE WHEN first > off + 1 THEN first ELSE plain END AS off
+                   FROM (SELECT *, list_min(list_filter(ends, lambda e: e > plain - 80 AND e <= plain)) AS first FROM (SELECT *, least(off + 550, stop) AS plain FROM w WHERE stop < n))))
+       SELECT doc_id, off::INT AS off, (stop - off)::INT AS len FROM w""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = document_archive(spark, d).select(F.col("doc_id").cast("string").alias("rid"), "content")
-    return search.snapped_windows(rows)
+    return search.snapped_windows(read(spark, d, "documents"), "doc_id", "text")
 
 
 _PASSAGES = "p AS (SELECT doc_id, CAST(o * 550 AS INT) AS off, substr(text, o * 550 + 1, 700) AS passage FROM documents, LATERAL (SELECT unnest(range(0, CAST(greatest(0, ceil((length(text) - 700) / 550.0)) AS BIGINT) + 1)) AS o))"
@@ -325,7 +335,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _outputs(spark, d).select("event_id", F.concat("op", F.lit(" "), "path", F.lit(": "), X.squeeze(F.col("out"), 40)).alias("receipt"))
 
 
-@query("tx03_exit_code", _OUT_SQL + r" SELECT event_id, TRY_CAST(list_extract(regexp_extract_all(out, '(?:exited with code|exit code:?) (\d+)', 1), -1) AS INT) AS code FROM outs")
+@query("tx03_exit_code", _OUT_SQL + r" SELECT event_id, TRY_CAST(list_extract(regexp_extract_all(out, '(?i)(?:exited with code |exit(?:ed)? (?:status|code)[:= ]+)(\d+)', 1), -1) AS INT) AS code FROM outs")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _outputs(spark, d).select("event_id", X.exit_code(F.col("out")).alias("code"))
 
@@ -346,9 +356,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _outputs(spark, d).select("event_id", X.output_kind(F.col("op"), F.col("out"), F.col("failed")).alias("kind"))
 
 
-@query("tx08_last_error_lines", "WITH l AS (SELECT doc_id, u.line, u.pos FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) d, LATERAL (SELECT unnest(d.a) AS line, generate_subscripts(d.a, 1) AS pos) u), g AS (SELECT doc_id, trim(line) AS line, min(pos) AS pos, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY doc_id, trim(line)) SELECT doc_id, line, n FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) <= 4")
+_ERROR_OUTPUT = "'Error|error|ERR!|Traceback|failed|FAIL|not found|No such file|denied|Cannot|cannot|Unexpected|undefined|exception'"
+
+
+@query(
+    "tx08_last_error_lines",
+    """WITH l AS (SELECT doc_id, trim(u.line) AS line, u.pos FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) d, LATERAL (SELECT unnest(d.a) AS line, generate_subscripts(d.a, 1) AS pos) u),
+       e AS (SELECT *, regexp_matches(line, """
+    + _ERROR_OUTPUT
+    + """) AS bad FROM l WHERE line <> '' AND NOT regexp_matches(line, '(?i)(?:exited with code |exit(?:ed)? (?:status|code)[:= ]+)(\\d+)')),
+       p AS (SELECT *, bool_or(bad) OVER (PARTITION BY doc_id) AS failing FROM e), g AS (SELECT doc_id, line, min(pos) AS pos, count(*) AS n FROM p WHERE bad OR NOT failing GROUP BY doc_id, line)
+       SELECT doc_id, line, n FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) <= 4""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").select("doc_id", F.posexplode(F.transform(X.lines(F.col("text")), lambda x: F.btrim(x))).alias("pos", "line")).where("line <> ''")
+    rows = read(spark, d, "documents").select("doc_id", F.posexplode(F.transform(X.lines(F.col("text")), lambda x: F.btrim(x))).alias("pos", "line"))
+    rows = rows.where(F.col("line") != "").where(~F.col("line").rlike(X.EXIT)).withColumn("bad", F.col("line").rlike(X.ERROR_OUTPUT))
+    rows = rows.withColumn("failing", F.max("bad").over(Window.partitionBy("doc_id"))).where("bad OR NOT failing")
     unique = rows.groupBy("doc_id", "line").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
     return unique.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("pos")))).where("at <= 4").select("doc_id", "line", "n")
 

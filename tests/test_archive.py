@@ -103,6 +103,29 @@ def test_windows_cover_every_character(spark):
             assert at == len(t)
 
 
+def test_snapped_windows_follow_line_ends(spark):
+    cut = lambda text: [(r.off, r.len) for r in sorted(search.snapped_windows(spark.createDataFrame([("a", text)], "rid string, content string")).collect())]
+    assert cut("x" * 1300) == [(0, 700), (550, 700), (1100, 200)]
+    assert cut("x" * 600 + "\n" + "y" * 699) == [(0, 601), (550, 700), (1100, 200)]
+    assert cut("x" * 400 + "\n" + "y" * 899) == [(0, 401), (401, 700), (951, 349)]
+    assert cut("x" * 480 + "\n" + "y" * 20 + "\n" + "z" * 798) == [(0, 502), (481, 700), (1031, 269)]
+    assert cut("") == [(0, 0)] and cut("\n") == [(0, 1)]
+
+
+def test_pruning_goes_on_behind_what_does_not_fit(spark):
+    df = spark.createDataFrame([("s", i, n) for i, n in enumerate([5, 50, 5, 5, 5, 90, 5])] + [(None, 0, 7), (None, 1, 95)], "source string, doc_id long, n long")
+    got = budget.take_what_fits(df, ["source"], [F.desc("doc_id")], 100, "n", "doc_id", most=3).collect()
+    assert {(r.source, r.doc_id) for r in got} == {("s", 6), ("s", 5), ("s", 4), (None, 1)}
+
+
+def test_exit_codes(spark):
+    from convlake.functions import text as X
+
+    texts = ["Command exited with code 3", "exit status 2\nExit code: 4", "exit code=7", "Exited code 9", "no code 5"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").select("k", X.exit_code(F.col("t")).alias("c")).collect()
+    assert [r.c for r in sorted(got)] == [3, 4, 7, 9, None]
+
+
 def test_budgets(spark):
     rng = random.Random(2)
     rows = [(c, i, f"r{c}-{i}", rng.randrange(1, 60)) for c in range(20) for i in range(rng.randrange(1, 12))]
