@@ -45,8 +45,8 @@ def log_records(df: DataFrame, key: str, body: str, least_stamped: float = 0.5)
     return units.groupBy(key, "unit").agg(F.min("pos").alias("first_line"), F.count("*").alias("n_lines"))
 
 
-def rank_units(units: DataFrame, key: str, unit: str, line: str, wanted: list[str]) -> DataFrame:
-    """BM25 of units within their own text, idf ln(1 + (N - df + 0.5) / (df + 0.5)): key, unit, score."""
+def rank_units(units: DataFrame, key: str, unit: str, line: str, wanted: list[str], covered: bool = False) -> DataFrame:
+    """BM25 of units within their own text, idf ln(1 + (N - df + 0.5) / (df + 0.5)): key, unit, score; with `covered` also how many wanted terms it holds."""
     toks = units.select(key, unit, terms(F.col(line)).alias("toks"))
     whole = Window.partitionBy(key)
     counts = [F.size(F.filter("toks", equal_to(w))) for w in wanted]
@@ -58,7 +58,8 @@ def rank_units(units: DataFrame, key: str, unit: str, line: str, wanted: list[st
         part = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.try_divide("dl", "avgdl")))
         score = score + F.when(f > 0, part).otherwise(0.0)
     some = F.greatest(*(F.col(f"f{i}") for i in range(len(wanted)))) > 0 if len(wanted) > 1 else F.col("f0") > 0
-    return rows.where(some).select(key, unit, F.round(score, 6).alias("score"))
+    n_covered = sum(((F.col(f"f{i}") > 0).cast("long") for i in range(len(wanted))), F.lit(0))
+    return rows.where(some).select(key, unit, F.round(score, 6).alias("score"), *([n_covered.alias("covered")] if covered else []))
 
 
 def parse_units(df: DataFrame, key: str | list[str], body: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlake.functions import text as X
@@ -173,13 +173,41 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", F.array_join(F.array_sort(X.identifiers(F.col("url"))), " ").alias("identifiers"))
 
 
-@query("ag15_retrieval_metrics", "WITH q AS (SELECT item_id, left(text, 60) AS probe FROM benchmark), h AS (SELECT q.item_id, count(d.doc_id) AS n, min(d.doc_id) AS first_doc FROM q LEFT JOIN documents d ON contains(d.text, q.probe) GROUP BY q.item_id) SELECT count(*) AS questions, count(*) FILTER (n > 0) AS found, round(avg(CASE WHEN n > 0 THEN 1.0 / n ELSE 0 END), 6) AS mrr FROM h")
+#: Different runs of eight words of a text.
+_WORDS_SQL = r"regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS words"
+_SHINGLES_SQL = "list_transform(range(1, greatest(1, len(words) - 6)), lambda i: array_to_string(words[i:i + 7], ' ')) AS shingles"
+
+
+def _shingles(text: str) -> Column:
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.array_join(F.slice(w, i, F.lit(8)), " "))
+    return F.transform(F.array(words), lambda w: F.when(F.size(w) >= 8, F.array_distinct(runs(w))).otherwise(F.array().cast("array<string>")))[0]
+
+
+@query(
+    "ag15_retrieval_metrics",
+    f"""WITH q AS (SELECT item_id, body, {_SHINGLES_SQL} FROM (SELECT item_id, text AS body, {_WORDS_SQL} FROM benchmark)), d AS (SELECT doc_id, body, {_SHINGLES_SQL} FROM (SELECT doc_id, text AS body, {_WORDS_SQL} FROM documents)),
+      qs AS (SELECT item_id, unnest(list_distinct(shingles)) AS s FROM q), ds AS (SELECT doc_id, unnest(list_distinct(shingles)) AS s FROM d),
+      hit AS (SELECT item_id, doc_id, s FROM qs JOIN ds USING (s)), n AS (SELECT item_id, doc_id, count(*) AS n FROM hit GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS place FROM n),
+      top AS (SELECT item_id, count(DISTINCT s) AS shown FROM hit JOIN r USING (item_id, doc_id) WHERE place <= 5 GROUP BY item_id),
+      first AS (SELECT r.item_id, min(place) AS place FROM r JOIN q USING (item_id) JOIN d USING (doc_id) WHERE contains(d.body, q.body) GROUP BY r.item_id)
+      SELECT count(*) AS questions, count(first.place) AS found, round(avg(coalesce(shown / nullif(len(list_distinct(shingles)), 0), 0)), 6) AS e5, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr
+      FROM q LEFT JOIN top USING (item_id) LEFT JOIN first USING (item_id)""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    probes = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("probe"))
-    # a stated set of questions against all documents
-    hits = read(spark, d, "documents").select("doc_id", "text").join(F.broadcast(probes), F.expr("contains(text, probe)")).groupBy("item_id").agg(F.count("*").alias("n"))
-    all_ = probes.join(hits, "item_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return all_.agg(F.count("*").alias("questions"), F.count_if(F.col("n") > 0).alias("found"), F.round(F.avg(F.when(F.col("n") > 0, 1.0 / F.col("n")).otherwise(0.0)), 6).alias("mrr"))
+    """Retrieval by common shingles: how much of a whole passage the best five documents show, and the place of the first that holds all of it."""
+    questions = read(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), _shingles("text").alias("shingles"))
+    asked = questions.select("item_id", F.explode("shingles").alias("s"))
+    have = read(spark, d, "documents").select("doc_id", F.explode(_shingles("text")).alias("s"))
+    hits = have.join(asked, "s").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.collect_set("s").alias("shown"))
+    ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("n").desc(), "doc_id")))
+    shown = ranked.where("place <= 5").select("item_id", F.explode("shown").alias("s")).groupBy("item_id").agg(F.count_distinct("s").alias("shown"))
+    texts = ranked.select("item_id", "doc_id", "place").join(questions.select("item_id", "passage"), "item_id").join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    first = texts.where(F.contains("text", "passage")).groupBy("item_id").agg(F.min("place").alias("place"))
+    share = F.coalesce(F.try_divide("shown", F.size("shingles")), F.lit(0.0))
+    rows = questions.join(shown, "item_id", "left").join(first, "item_id", "left")
+    return rows.agg(F.count("*").alias("questions"), F.count("place").alias("found"), F.round(F.avg(share), 6).alias("e5"), F.round(F.avg(F.coalesce(1.0 / F.col("place"), F.lit(0.0))), 6).alias("mrr"))
 
 
 # Budgets
