@@ -179,9 +179,10 @@ _SHINGLES_SQL = "list_transform(range(1, greatest(1, len(words) - 6)), lambda i:
 
 
 def _shingles(text: str) -> Column:
+    """The same as 64-bit hashes."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.array_join(F.slice(w, i, F.lit(8)), " "))
-    return F.transform(F.array(words), lambda w: F.when(F.size(w) >= 8, F.array_distinct(runs(w))).otherwise(F.array().cast("array<string>")))[0]
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.xxhash64(F.slice(w, i, F.lit(8))))
+    return F.transform(F.array(words), lambda w: F.when(F.size(w) >= 8, F.array_distinct(runs(w))).otherwise(F.array().cast("array<bigint>")))[0]
 
 
 @query(
