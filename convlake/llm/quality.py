@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlake.llm.common import discard, store
@@ -79,6 +79,10 @@ class QualityModel:
     def margin(self, active: np.ndarray) -> float:
         return float(self.weights[active].sum(dtype=np.float64) / np.sqrt(len(active)))
 
+    def shared(self, spark: SparkSession):
+        """A broadcast of plain numbers (DIMENSIONS of them), which workers can read without this package."""
+        return spark.sparkContext.broadcast((self.weights, self.slope, self.offset))
+
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(indicators(text)) + self.offset, -60, 60))))
 
@@ -181,13 +185,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score, 0 to 1, of every row; null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS numbers
+    shared = model.shared(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        own = QualityModel(*shared.value)
         for batch in batches:
-            scores = [shared.value.score(t.as_py()) for t in batch.column(1)]
+            scores = [own.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -195,14 +200,15 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        own = QualityModel(*shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(t.as_py()) >= threshold for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([own.score(t.as_py()) >= threshold for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

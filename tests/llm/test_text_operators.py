@@ -102,9 +102,9 @@ def test_token_ids_are_those_of_tokenizers():
     from tokenizers import Tokenizer
 
     own, theirs = BpeEncoder(vocabulary("byte_bpe_50k.tiktoken")), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    theirs.encode_special_tokens = True
     rng = random.Random(3)
-    for text in ODD + ["".join(rng.choice("ab  \n\t.,'s1é日") for _ in range(40)) for _ in range(300)]:
+    assert own.encode("<|endoftext|> a").tolist() == [50256, 257]
+    for text in ODD + ["<|endoftext|> a", "x <|endoftext|><|endoftext|>  y", "<|endoftext|", f"a<|endoftext|>{chr(10) * 5000}b"] + ["".join(rng.choice("ab  \n\t.,'s1é日") for _ in range(40)) for _ in range(300)]:
         assert own.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
@@ -120,6 +120,14 @@ def test_token_ids_of_long_white_space(spark, mark):
     assert token_rollup.bpe_counts(docs).first().n_tokens == len(theirs)
 
 
+def test_added_tokens_in_the_queries(spark):
+    docs = spark.createDataFrame([(1, "<|endoftext|> a", "s", "en")], "doc_id long, text string, source string, lang string")
+    crc = lambda *ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    pieces = sorted(packing.pack(docs).collect(), key=lambda r: r.start)
+    assert [(r.start, r.length, r.doc_tokens, r.ids_crc32) for r in pieces] == [(0, 2, 3, crc(50256, 257)), (2, 1, 3, crc(1))]
+    assert token_rollup.bpe_counts(docs).first().n_tokens == 2
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma  ", "d\n"]) for _ in range(rng.choice([0, 1, 5, 300, 900, 5000])))) for i in range(80)] + [(100, None), (None, "x y"), (7000, "z " * 9000)]
