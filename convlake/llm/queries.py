@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from convlake.llm.common import store, table
 from convlake.llm.embedding_dedup import embedding_dedup
 from convlake.llm.exact_dedup import exact_dedup
+from convlake.llm.filter_audit import duckdb_sql as filter_audit_sql
+from convlake.llm.filter_audit import filter_audit
 from convlake.llm.html_extract import extract
+from convlake.llm.language_id import language_id
 from convlake.llm.license_scan import duckdb_sql as license_sql
 from convlake.llm.license_scan import license_scan
 from convlake.llm.line_dedup import line_dedup
@@ -85,6 +88,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return ops | {"word_count_rollup": word_count_rollup}
@@ -120,4 +131,4 @@ GROUP BY source, lang
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op9_exact_dedup": OP9, "op10_license_scan": license_sql(), "word_count_rollup": WORD_COUNTS}
+    return {"op2_line_dedup": OP2, "op9_exact_dedup": OP9, "op10_license_scan": license_sql(), "op13_filter_interaction_audit": filter_audit_sql(), "word_count_rollup": WORD_COUNTS}
