@@ -19,6 +19,8 @@ from convlake.llm.license_scan import license_scan
 from convlake.llm.line_dedup import line_dedup
 from convlake.llm.ngram_join import ngram_jaccard_join
 from convlake.llm.packing import pack
+from convlake.llm.phrases import collocations
+from convlake.llm.phrases import duckdb_sql as phrases_sql
 from convlake.llm.quality import quality
 from convlake.llm.sentencepiece_codec import round_trip
 from convlake.llm.token_rollup import TokenRollup, bpe_counts, deleted, inserted, revised, word_counts
@@ -92,6 +94,10 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -131,4 +137,4 @@ GROUP BY source, lang
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op9_exact_dedup": OP9, "op10_license_scan": license_sql(), "op13_filter_interaction_audit": filter_audit_sql(), "word_count_rollup": WORD_COUNTS}
+    return {"op2_line_dedup": OP2, "op9_exact_dedup": OP9, "op10_license_scan": license_sql(), "op12_phrase_collocations": phrases_sql(), "op13_filter_interaction_audit": filter_audit_sql(), "word_count_rollup": WORD_COUNTS}
