@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from convlake.functions import text as X
 from convlake.operators import budget, lifecycle, structure
+from convlake.operators.search_index import SearchIndex
 from convlake.plans.registry import query
 from convlake.sources.archive import PIECES, archive, document_archive, file_ops, read, read_or_empty
+from convlake.sources.scratch import folder
 
 
 # Scans, sources and sinks
@@ -226,10 +228,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Joins
-@query("jn03_not_indexed", "WITH <archive> SELECT conv, idx FROM archive WHERE tokens > 60")
+@query("jn03_not_indexed", "WITH <archive> SELECT conv, idx FROM archive WHERE idx % 2 = 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = archive(spark, d)
-    return rows.join(rows.where("tokens <= 60").select("rid"), "rid", "left_anti").select("conv", "idx")
+    rows, index = archive(spark, d), SearchIndex(spark, folder(spark, "search-index"))
+    index.ensure(rows.where("idx % 2 = 0"))
+    return index.not_indexed(rows).select("conv", "idx")
 
 
 @query("jn05_first_user_message", "WITH <archive> SELECT conv, arg_min(content, idx) AS first_text FROM archive WHERE role = 'user' GROUP BY conv")

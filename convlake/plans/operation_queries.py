@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from convlake.functions import text as X
 from convlake.operators import budget, lifecycle, search, structure
+from convlake.operators.search_index import SearchIndex
 from convlake.plans.registry import FOLD, TERMS, query
 from convlake.plans.search_queries import _bm25_sql, _scored, _variant
 from convlake.sources import scratch
@@ -375,13 +376,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", "user_id", F.max("value").over(Window.partitionBy("user_id").orderBy("event_id")).alias("most"))
 
 
-@query("ss09_incremental_index", "WITH <archive> SELECT count(*) AS n, count(DISTINCT rid) AS pieces FROM archive")
+@query("ss09_incremental_index", "WITH <archive>, b AS (SELECT CASE WHEN idx < 1 THEN 1 WHEN idx < 3 THEN 2 ELSE 3 END AS batch FROM archive) SELECT v.batch, count(b.batch) AS new_pieces, (SELECT count(*) FROM archive) AS texts FROM (VALUES (1), (2), (3), (4)) v(batch) LEFT JOIN b USING (batch) GROUP BY v.batch")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = archive(spark, d).select("rid", "conv", "idx")
-    done = rows.where("idx < 1")
-    done = lifecycle.insert_absent(done, rows.where("idx < 3"), ["rid"])
-    done = lifecycle.insert_absent(done, rows, ["rid"])
-    return done.agg(F.count("*").alias("n"), F.count_distinct("rid").alias("pieces"))
+    rows, index = archive(spark, d), SearchIndex(spark, scratch.folder(spark, "search-index"), window=None)
+    batches = [(k + 1, index.ensure(rows.where(bound))) for k, bound in enumerate(["idx < 1", "idx < 3", "true", "true"])]
+    return spark.createDataFrame([(k, n, sum(r.texts for r in index.manifest())) for k, n in batches], "batch int, new_pieces long, texts long")
 
 
 @query("ss11_new_failures", "SELECT event_id, user_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_type = 'error' AND before IS DISTINCT FROM 'error'")

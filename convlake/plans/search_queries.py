@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from convlake.functions import text as X
 from convlake.operators import budget, lifecycle, records, search, structure
+from convlake.operators.search_index import SearchIndex
 from convlake.plans.registry import FOLD, TERMS, query
 from convlake.sources.archive import archive, document_archive, file_ops, read
+from convlake.sources.scratch import folder
 
 #: Characters of a piece of a user's events of a day.
 UNIT_CHARS = 500_000
@@ -106,6 +108,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.best_per(_scored(parts, content="passage"), "doc_id").select("doc_id", "off", "score", "n_terms")
 
 
+@query("ft09_indexed_search", "WITH <archive>, " + _bm25_sql("archive", "conv, idx, rid", _CONTENT, "SELECT * FROM scored"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    index, rows = SearchIndex(spark, folder(spark, "search-index"), window=None), archive(spark, d)
+    for part in ("conv % 3 = 0", "conv % 3 <= 1", "true"):
+        index.ensure(rows.where(part))
+    return index.search(WANTED).withColumn("score", F.round("score", 6)).select("conv", "idx", "rid", "score", "n_terms")
+
+
+@query("ft09_indexed_passages", "WITH " + _PASSAGES + ", " + _bm25_sql("p", "doc_id, off", TERMS.format("passage"), "SELECT doc_id, off, score, n_terms FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, off) = 1"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    index = SearchIndex(spark, folder(spark, "search-index"))
+    rows = read(spark, d, "documents").select(F.col("source").alias("conv"), F.lit(0).alias("idx"), F.col("doc_id").cast("string").alias("rid"), F.lit("tool").alias("role"), F.col("text").alias("content"))
+    for part in ("crc32(rid) % 2 = 0", "true"):
+        index.ensure(rows.where(part))
+    found = index.search(WANTED).withColumn("score", F.round("score", 6)).withColumn("doc_id", F.col("rid").cast("long"))
+    return search.best_per(found, "doc_id").select("doc_id", "off", "score", "n_terms")
+
+
 @query("ft11_phrase_search", "WITH <archive> SELECT conv, idx FROM archive WHERE contains(' ' || array_to_string(" + _CONTENT + ", ' ') || ' ', ' of the ')")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return archive(spark, d).where(search.holds_phrase(F.col("content"), "Of  the")).select("conv", "idx")
