@@ -10,7 +10,7 @@ from convlake.operators import budget, lifecycle, search, structure
 from convlake.operators.search_index import SearchIndex
 from convlake.plans.registry import FOLD, TERMS, query
 from convlake.plans.search_queries import _bm25_sql, _scored, _variant
-from convlake.sources import scratch
+from convlake.sources import journal_files, scratch
 from convlake.sources.archive import archive, file_ops, read
 from convlake.streaming import journal
 
@@ -371,6 +371,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("sc08_journal_reader", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT event_id) AS n_ids FROM events GROUP BY event_type")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The events as journals of JSON lines, read by two starts of one query: the second finds what came after the first."""
+    folder, rows = scratch.folder(spark, "journals"), read(spark, d, "events").select("event_id", "event_type", "value")
+    for bound in ("event_id % 3 = 0", "event_id % 3 <> 0"):
+        rows.where(bound).select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(f"{folder}/files")
+        events = journal_files.journal_events(journal_files.journal_lines(spark, f"{folder}/files/part-", 1 << 20), rows.schema.simpleString()[7:-1].replace(":", " "))
+        journal.drain(events.drop("file", "offset"), f"{folder}/progress", f"{folder}/events")
+    return spark.read.parquet(f"{folder}/events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count_distinct("event_id").alias("n_ids"))
+
+
 @query("ss08_search_state", "SELECT event_id, user_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id) AS most FROM events")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", "user_id", F.max("value").over(Window.partitionBy("user_id").orderBy("event_id")).alias("most"))
