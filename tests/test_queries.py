@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from convlake.plans import archive_queries, operation_queries, recall_queries, search_queries  # noqa: F401
+from convlake.plans import archive_queries, import_queries, operation_queries, recall_queries, search_queries  # noqa: F401
 from convlake.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
