@@ -13,12 +13,12 @@ a piece that went round a cycle would have to stop at one of its nodes.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import count, islice
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,68 +31,95 @@ HELD_PERCENT = 80
 TOP = 2000
 SCALE = 2_000_000
 UNKNOWN_LANG = "und"
-#: Different edges that a task counts together, bytes of text for each bucket, words of a piece that are taken at a time, edges of a path row.
-BLOCK_EDGES, BUCKET_BYTES, PIECE_WORDS, PATH_EDGES = 1_000_000, 16 << 20, 1 << 16, 1024
-_PIECE, _WORD = re.compile(rb"[.,;:!?\x0A-\x0D]"), re.compile(rb"[^\x20\x09]+")
+#: Words (and ends of pieces) that a task counts together, a text being counted whole; bytes of text for each bucket, bytes of a text that are
+#: cut into words at a time, edges of a path row.
+BLOCK_WORDS, BUCKET_BYTES, READ_BYTES, PATH_EDGES = 1_500_000, 8 << 20, 4 << 20, 1024
+#: A byte that no text has, for the end of a piece.
+_END = b"\xff"
+_TO_END = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _END * 10)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 PACKED = "lang string, bucket int, size int, once binary, often binary, counts array<long>"
 COUNTED = "lang string, size int, gram string, n long, flow long"
 
 
 class Block:
-    """Edges of one language as "three words, a space, the next word" (an end of a piece has no next word), and ends of two words and one."""
+    """Texts of one language as a stream of word numbers, 0 between pieces."""
 
     def __init__(self):
-        self.edges, self.pair_ends, self.word_ends = Counter(), Counter(), Counter()
+        self.words = defaultdict(count().__next__)
+        self.words[_END]
+        self.ids: list[np.ndarray] = []
+        self.size = 0
 
     def add(self, text: str) -> None:
-        for piece in _PIECE.split(text.encode().lower()):
-            if len(piece) < PIECE_WORDS:
-                self._edges(words := piece.split())
-            else:  # a long piece is read in runs that overlap by a node
-                found = (m[0] for m in _WORD.finditer(piece))
-                words = list(islice(found, PIECE_WORDS))
-                while True:
-                    self._edges(words)
-                    more = list(islice(found, PIECE_WORDS))
-                    if not more:
-                        break
-                    words = words[1 - LONGEST :] + more
-            self._ends(words)
-
-    def _edges(self, words: list[bytes]) -> None:
-        if len(words) >= LONGEST:
-            self.edges.update(map(b" ".join, zip(words, words[1:], words[2:], words[3:])))
-
-    def _ends(self, words: list[bytes]) -> None:
-        if words:
-            self.word_ends[words[-1]] += 1
-            if len(words) > 1:
-                self.pair_ends[b" ".join(words[-2:])] += 1
-                if len(words) > 2:
-                    self.edges[b" ".join(words[-3:]) + b" "] += 1
+        raw, at = text.encode().lower().translate(_TO_END), 0
+        while at < len(raw):
+            to = at + READ_BYTES
+            to = len(raw) if to >= len(raw) else 1 + max(raw.rfind(c, at, to) for c in (b" ", b"\t", _END))
+            if to <= at:  # one word longer than what is read at once
+                to = min((x for x in (raw.find(c, at + READ_BYTES) for c in (b" ", b"\t", _END)) if x >= 0), default=len(raw) - 1) + 1
+            words = raw[at:to].replace(_END, b" " + _END + b" ").split()
+            self._append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
+            at = to
+        self._append(np.zeros(1, np.int32))
+
+    def _append(self, ids: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.size += len(ids)
+
+    def counted(self) -> tuple[list[bytes], dict[int, tuple[list[np.ndarray], np.ndarray]]]:
+        """The words in order, and for 4, 2 and 1 words different grams as numbers of their words, with counts. An edge's last word is -1
+        where a piece ends in the node. Only edges and ends are counted; what two words and one occur is what flows on from them."""
+        names = sorted(self.words)  # the end of a piece is the last: no text has its byte
+        rank = np.empty(len(names), np.int64)
+        rank[[self.words[w] for w in names]] = np.arange(len(names))
+        stream, base = rank[np.concatenate(self.ids)], len(names)
+        places = np.arange(len(stream))
+        end = stream == base - 1
+        run = places - np.maximum.accumulate(np.where(end, places, -1))  # the word's place in its piece, from 1
+        last = np.flatnonzero(end[1:] & ~end[:-1])
+        second = np.flatnonzero(run >= 2)
+        pairs, number = np.unique(stream[second - 1] * base + stream[second], return_inverse=True)
+        pair = np.zeros(len(stream), np.int64)  # the two words that end here
+        pair[second] = number
+        fourth, third = np.flatnonzero(run >= 4), last[run[last] >= 3]
+        edges, n_edges = np.unique(pair[fourth - 2] * len(pairs) + pair[fourth], return_counts=True)
+        ends, n_ends = np.unique(pair[third - 1] * base + stream[third], return_counts=True)
+        out, to = np.divmod(edges, max(1, len(pairs)))
+        node, word = np.divmod(ends, base)
+        flow = np.bincount(np.concatenate([out, node, pair[last[run[last] >= 2]]]), np.concatenate([n_edges, n_ends, np.ones((run[last] >= 2).sum())]), len(pairs)).astype(np.int64)
+        first, other = np.divmod(pairs, base)
+        words = np.bincount(np.concatenate([first, stream[last]]), np.concatenate([flow, np.ones(len(last))]), base).astype(np.int64)[:-1]
+        grams = [np.concatenate([first[out], first[node]]), np.concatenate([other[out], other[node]]), np.concatenate([first[to], word]), np.concatenate([other[to], np.full(len(ends), -1)])]
+        return names[:-1], {4: (grams, np.concatenate([n_edges, n_ends])), 2: ([first, other], flow), 1: ([np.arange(base - 1)], words)}
 
     def packed(self, lang: str, buckets: int) -> Iterator[tuple]:
         """Rows of PACKED: by bucket of the node (or of the two words, or the word) the grams that occur once, and others with their counts."""
-        filed: dict[tuple[int, int], list[bytes]] = {}
-        pairs, words = self.pair_ends, self.word_ends
-        for edge, n in self.edges.items():
-            node = edge[: edge.rindex(b" ")]
-            pairs[node[: node.rindex(b" ")]] += n
-            filed.setdefault((4, zlib.crc32(node) % buckets), []).append(edge)
-        for pair, n in pairs.items():
-            words[pair[: pair.index(b" ")]] += n
-            filed.setdefault((2, zlib.crc32(pair) % buckets), []).append(pair)
-        for word in words:
-            filed.setdefault((1, zlib.crc32(word) % buckets), []).append(word)
-        of = {4: self.edges, 2: pairs, 1: words}
-        for (size, bucket), grams in filed.items():
-            count = of[size]
-            grams.sort()
-            often = [g for g in grams if count[g] > 1]
-            yield lang, bucket, size, b"\n".join(g for g in grams if count[g] == 1), b"\n".join(often), [count[g] for g in often]
-
-
-def _pack(buckets: int, block_edges: int):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names, counted = self.counted()
+        hashes = np.fromiter(map(zlib.crc32, names), np.uint64, len(names))
+        text = pa.array([*names, b""], pa.binary())
+        for size, (grams, n) in counted.items():
+            mixed = np.zeros(len(n), np.uint64)
+            for column in grams[:3]:
+                mixed = (mixed ^ hashes[column]) * _MIX
+                mixed ^= mixed >> np.uint64(29)
+            bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(2 * bucket + (n > 1), kind="stable")
+            bucket, n = bucket[order], n[order]
+            columns = [text.take(pa.array(np.where(c < 0, len(names), c)[order])) for c in grams]
+            lines = pc.binary_join_element_wise(*columns, b" ") if len(columns) > 1 else columns[0]
+            keys = np.flatnonzero(np.diff(bucket, prepend=-1))
+            often = np.searchsorted(2 * bucket + (n > 1), 2 * bucket[keys] + 1)
+            bounds = np.append(np.stack([keys, often], 1).ravel(), len(n)).astype(np.int64)
+            blobs = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), lines), b"\n").to_pylist()
+            for i, key in enumerate(keys.tolist()):
+                yield lang, int(bucket[key]), size, blobs[2 * i], blobs[2 * i + 1], n[bounds[2 * i + 1] : bounds[2 * i + 2]].tolist()
+
+
+def _pack(buckets: int, block_words: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -110,7 +137,7 @@ def _pack(buckets: int, block_edges: int):
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 blocks.setdefault(lang, Block()).add(text.as_py())
-                if sum(len(b.edges) + len(b.pair_ends) + len(b.word_ends) for b in blocks.values()) >= block_edges:
+                if sum(b.size for b in blocks.values()) >= block_words:
                     yield from flush()
         yield from flush()
 
@@ -166,12 +193,12 @@ def _count(min_count: int):
     return run
 
 
-def frequent_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, block_edges: int = BLOCK_EDGES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def frequent_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, block_words: int = BLOCK_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(lang, size, gram, n, flow): phrases of size 1 to 4 words that occur min_count times or more, flow being the count of an edge's first
     three words; and for size 0 parts of the number of all words."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = rows.mapInArrow(_pack(1 + size // bucket_bytes, block_edges), PACKED)
+    packed = rows.mapInArrow(_pack(1 + size // bucket_bytes, block_words), PACKED)
     return packed.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_count(min_count), COUNTED)
 
 
@@ -248,14 +275,14 @@ def _not_held(grams: DataFrame, longer: DataFrame, size: int) -> DataFrame:
     return grams.join(most, ["lang", "gram"], "left").where(f"most IS NULL OR 100 * most < {HELD_PERCENT} * n").drop("most")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, top: int = TOP, block_edges: int = BLOCK_EDGES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, top: int = TOP, block_words: int = BLOCK_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of 2 to 4 words of each language.
 
     Null text counts as empty, null language as `und`, which a row may also name. Repeated rows count each. A language without candidates has
     no rows, nor has an empty table. Columns other than the two are not read, and no others are kept. A phrase that a longer one holds is
     dropped by the longest phrases' rule for every length between, as a four-word phrase holds its three-word ones.
     """
-    grams = store(frequent_grams(docs, text_col, lang_col, min_count, block_edges, bucket_bytes), "phrase-grams")
+    grams = store(frequent_grams(docs, text_col, lang_col, min_count, block_words, bucket_bytes), "phrase-grams")
     of = {size: grams.where(f"size = {size}").select("lang", "gram", "n") for size in (1, 2, 3)}
     words = of[1].withColumnRenamed("n", "f")
     pairs = of[2].withColumn("first", first_words("gram", 1)).withColumn("second", last_words("gram", 1))

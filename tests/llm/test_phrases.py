@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from convlake.llm import phrases
@@ -52,20 +53,39 @@ def test_against_brute_force(spark):
         bits = [rng.choice(passages) if rng.random() < 0.3 else " ".join(rng.choice("a b c d e dé 日 %").strip() or "q" for _ in range(rng.randint(0, 9))) for _ in range(6)]
         rows.append((rng.choice([". ", ", ", "\n", " ", "\t", "!?"]).join(bits), rng.choice(["en", "fr", None, "und", ""])))
     rows += [(None, "en"), ("", "fr"), (" ,\r\x0b", "xx"), ("aa " * 500, "rep"), ("aa bb " * 300, "rep"), ("Aa\tBB  aa", "rep")]
-    for kw in ({"min_count": 5}, {"min_count": 2, "top": 7, "block_edges": 50, "bucket_bytes": 2_000}):
+    for kw in ({"min_count": 5}, {"min_count": 2, "top": 7, "block_words": 50, "bucket_bytes": 2_000}):
         assert mined(spark, rows, **kw) == brute(rows, **{k: v for k, v in kw.items() if k in ("min_count", "top")})
     assert mined(spark, []) == {} and mined(spark, [("a b c", "en")]) == {}
 
 
-def test_long_pieces_are_counted_whole(spark, monkeypatch):
+def test_long_pieces_are_counted_whole(spark):
     text = " ".join(f"w{i % 997}" for i in range(200_000))
     assert mined(spark, [(text, "en"), ("one " + "x" * 1_000_000, "en")]) == brute([(text, "en"), ("one " + "x" * 1_000_000, "en")])
-    monkeypatch.setattr(phrases, "PIECE_WORDS", 4)
-    for n in range(1, 14):
-        words = [f"{i % 3}".encode() for i in range(n)]
-        block = phrases.Block()
-        block.add(b" ".join(words).decode())
-        assert block.edges == Counter([b" ".join(words[i : i + 4]) for i in range(n - 3)] + ([b" ".join(words[-3:]) + b" "] if n > 2 else []))
+
+
+@pytest.mark.parametrize("read_bytes", [1, 2, 5, 1000])
+def test_blocks(monkeypatch, read_bytes):
+    monkeypatch.setattr(phrases, "READ_BYTES", read_bytes)
+    rng = random.Random(read_bytes)
+    for _ in range(30):
+        block, expected = phrases.Block(), {4: Counter(), 2: Counter(), 1: Counter()}
+        for _ in range(rng.randint(1, 4)):
+            text = "".join(rng.choice(["a", "B", "é", "cc", " ", " ", "\t", ".", "\n", " ", "a b c a b "]) for _ in range(rng.randint(0, 30)))
+            block.add(text)
+            for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower_ascii(text)):
+                w = re.findall(r"[^\x20\x09]+", piece)
+                expected[4].update(" ".join(w[i : i + 4]) for i in range(len(w) - 3))
+                expected[4].update([" ".join(w[-3:]) + " "] if len(w) > 2 else [])
+                expected[2].update(" ".join(w[i : i + 2]) for i in range(len(w) - 1))
+                expected[1].update(w)
+        found = {4: Counter(), 2: Counter(), 1: Counter()}
+        places = {}
+        for lang, bucket, size, once, often, counts in block.packed("en", 3):
+            found[size].update(x.decode() for x in phrases._grams(once))
+            found[size].update({x.decode(): n for x, n in zip(phrases._grams(often), counts, strict=True)})
+            for x in phrases._grams(once) + phrases._grams(often):
+                assert places.setdefault((size, x.rsplit(b" ", 1)[0] if size == 4 else x), bucket) == bucket and lang == "en"
+        assert found == expected
 
 
 def test_unary_nodes_become_paths(spark):
