@@ -34,6 +34,7 @@ NOT_ARTICLE = frozenset(
     "form search comment comments reply replies respond disqus discussion share sharing social related recommended pagination pager toolbar tags contentinfo".split()
 )
 COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+MODIFIERS = frozenset("no not non without with has have is hide show".split())
 OF_ARTICLE = frozenset("article post entry story content".split())
 ARTICLE = frozenset("article main articlebody article-body post-content entry-content story-body".split())
 CLOSED_BY = {t: frozenset(s.split()) for t, s in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th", "body": "head"}.items()}
@@ -48,12 +49,16 @@ SMOOTH, HOLDS, PRIOR = 1.0, 0.75, 4.0
 
 
 def _marks(attributes: str) -> set[str]:
+    """The words of class, id and role, and the parts of each; what follows a word like `no` or `with` says what a page has beside the element."""
     words = set()
     for m in _NAMES.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        words |= set(value.split())
-        words |= {w for w in re.split(r"[\s_-]+", value) if w}
-    return words
+        for value in (m[1] or m[2] or m[3] or "").lower().split():
+            words.add(value)
+            for w in re.split(r"[_-]+", value):
+                if w in MODIFIERS:
+                    break
+                words.add(w)
+    return words - {""}
 
 
 def _hidden(attributes: str) -> bool:
@@ -64,26 +69,29 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _left_out(name: str, marks: set[str], attributes: str, above: int, in_article: bool, by_words: bool) -> int:
-    """2: an element is left out by its kind, 1: by its words, which an article inside it overrules, 0: not at all."""
-    if above == 2 or (name in LEFT_OUT and not (name == "header" and in_article)) or marks & COMMENTS or _hidden(attributes):
+def _left_out(name: str, attributes: str, above: int, in_article: bool) -> bool:
+    """Whether an element is left out by its kind."""
+    return bool(above) or (name in LEFT_OUT and not (name == "header" and in_article)) or _hidden(attributes)
+
+
+def _doubt(name: str, marks: set[str], in_article: bool) -> int:
+    """2: an element's words are those of readers' comments, 1: of something else beside an article, 0: of neither."""
+    if marks & COMMENTS:
         return 2
-    if name in ("html", "body", "article", "main"):
-        return 0
     words = marks & NOT_ARTICLE
     if in_article or marks & OF_ARTICLE:
         words -= {"header"}
-    return 1 if above or (words and by_words) else 0
+    return int(bool(words) and name not in ("html", "body", "article", "main"))
 
 
 class _Tree:
     """Elements in page order, so that a parent comes before its children. Element 0 is the page."""
 
     def __init__(self):
-        self.parent, self.name, self.path, self.named, self.article, self.form, self.out = [0], [""], [0], [False], [False], [0], [0]
+        self.parent, self.name, self.path, self.named, self.article, self.form, self.out, self.doubt = [0], [""], [0], [False], [False], [0], [False], [0]
         self._paths: dict[tuple[int, str], int] = {}
 
-    def add(self, parent: int, name: str, named: bool, out: int) -> int:
+    def add(self, parent: int, name: str, named: bool, out: bool, doubt: int) -> int:
         at = len(self.parent)
         self.parent.append(parent)
         self.name.append(name)
@@ -92,6 +100,7 @@ class _Tree:
         self.article.append(named or self.article[parent])
         self.form.append(self.form[parent] or (at if name == "form" else 0))
         self.out.append(out)
+        self.doubt.append(doubt)
         return at
 
     def sums(self, blocks: list[_Block], values: np.ndarray) -> np.ndarray:
@@ -143,8 +152,8 @@ def _tag_end(page: str, at: int, absent: set[str]) -> int:
     return len(page)
 
 
-def text_blocks(page: str, by_words: bool = True) -> tuple[list[_Block], _Tree]:
-    """The blocks of text outside elements that cannot be the article, and the page's elements.
+def text_blocks(page: str) -> tuple[list[_Block], _Tree]:
+    """The blocks of text outside elements that by their kind cannot be the article, and the page's elements.
 
     Elements of text level belong to no path. A block ends at every tag of another kind; <br> is white space. Each character is passed once,
     whatever the tags' depth is and whether they are closed.
@@ -213,7 +222,7 @@ def text_blocks(page: str, by_words: bool = True) -> tuple[list[_Block], _Tree]:
                 depth -= 1
             marks = _marks(attributes) if attributes else set()
             named, above = name in ("article", "main") or bool(marks & ARTICLE), stack[-1]
-            element = tree.add(above, name, named, _left_out(name, marks, attributes, tree.out[above], tree.article[above], by_words))
+            element = tree.add(above, name, named, _left_out(name, attributes, tree.out[above], tree.article[above]), _doubt(name, marks, tree.article[above]))
             if name in RAW:
                 end = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(page, at)
                 at = end.start() if end else len(page)
@@ -246,6 +255,35 @@ def threshold(blocks: list[_Block], scores: np.ndarray) -> float:
     return float(scores[order[np.searchsorted(plain, plain[-1] / 2)]]) / 2
 
 
+def dropped_by_words(blocks: list[_Block], tree: _Tree) -> list[bool]:
+    """For each element whether its words, or those of one above it, leave it out: words that mark something else do so if the element holds
+    less than half of the page's scores, or if outside of it an element is named as an article that has at least a quarter of its text.
+    Readers' comments are left out beside any such element, and in one that has at least a quarter of their text besides. An article inside
+    an element that is no comment stays."""
+    scores = path_scores(blocks, tree)
+    mass = tree.sums(blocks, scores if scores.any() else np.array([len(x.text) for x in blocks]))
+    size = tree.sums(blocks, np.array([x.plain + x.linked for x in blocks]))
+    n = len(tree.parent)
+    holder, comments = [0] * n, [False] * n  # the outermost element named as an article outside of comments
+    for e in range(1, n):
+        comments[e] = comments[tree.parent[e]] or tree.doubt[e] == 2
+        holder[e] = holder[tree.parent[e]] or (e if tree.named[e] and not comments[e] else 0)
+    told = [size[e] if e and holder[e] == e else 0.0 for e in range(n)]
+    for e in range(n - 1, 0, -1):
+        told[tree.parent[e]] += told[e]
+    state = [0] * n
+    for e in range(1, n):
+        above, doubt = state[tree.parent[e]], tree.doubt[e]
+        if above == 2 or (above and tree.name[e] not in ("article", "main")):
+            state[e] = above
+        elif doubt:
+            beside = size[holder[e]] - size[e] if holder[e] else told[0] - told[e]
+            enough = 4 * beside >= size[e] if holder[e] or doubt == 1 else beside > 0
+            if 2 * mass[e] < mass[0] or (beside and enough and (doubt == 2 or not holder[e])):
+                state[e] = doubt
+    return [bool(s) for s in state]
+
+
 def _roots(blocks: list[_Block], chosen: np.ndarray, scores: np.ndarray, tree: _Tree) -> set[int]:
     """The deepest element that holds most of the content's scores, or the element named as an article round it, and other elements of the
     same tag path or named as articles of whose text at least half is content."""
@@ -290,8 +328,9 @@ def _linked_lists(blocks: list[_Block], first: int, last: int, root: int, tree:
 def main_text(page: str | None) -> str:
     """The blocks of the article, white space inside each made one space, joined by an empty line."""
     blocks, tree = text_blocks(page or "")
-    if not blocks:
-        blocks, tree = text_blocks(page or "", by_words=False)
+    if any(tree.doubt) and blocks:
+        gone = dropped_by_words(blocks, tree)
+        blocks = [x for x in blocks if not gone[x.element]] or blocks
     if any(tree.form):  # a form is left out unless it is wrapped round most of the page
         size = np.array([x.plain + x.linked for x in blocks])
         held, total = tree.sums(blocks, size), size.sum()
@@ -303,9 +342,9 @@ def main_text(page: str | None) -> str:
     roots = _roots(blocks, chosen, scores, tree)
     inside, root = tree.inside(roots), min(roots)
     content = [i for i, x in enumerate(blocks) if chosen[i] and x.plain and inside[x.element]]
-    named = tree.inside({e for e in roots if tree.article[e]})
+    named, told = tree.inside({e for e in roots if tree.article[e]}), any(tree.named[e] for e in roots)
     dropped = _linked_lists(blocks, content[0], content[-1], root, tree) if content else [False] * len(tree.parent)
-    kept = [x for i, x in enumerate(blocks) if (inside[x.element] and (named[x.element] or not dropped[x.element])) or (chosen[i] and x.plain)]
+    kept = [x for i, x in enumerate(blocks) if (inside[x.element] and (named[x.element] or not dropped[x.element])) or (chosen[i] and x.plain and not told)]
     return "\n\n".join(x.text for x in kept)
 
 
@@ -313,12 +352,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: page_id, url, text (empty if there is none), n_chars (its code points).
 
     Left out are elements that are no article by their kind (navigation, headers outside the article, footers, sidebars, scripts, styles,
-    controls, forms that hold less than half of the text) or by a word in their class, id or role. Of what is left, text length and
-    punctuation are summed for each root-to-leaf tag path, divided by the path's blocks, smoothed along the page, multiplied, averaged, counted more
-    inside elements named as articles (a prior, no rule), and cut at half of what the page's middle character has. Returned are the blocks chosen so, and all
-    others, however short and linked, of the deepest element that holds most of their scores (of that named as an article round it, if there is one) and of elements of the same tag path or named
-    as articles that are mostly chosen. In an element not named as an article, lists of nothing but links before the first or after the last
-    chosen block are left out.
+    controls, forms that hold less than half of the text), and elements with a word in their class, id or role that says so, if they hold less
+    than half of the page's scores, too (readers' comments also beyond that, where an article is named outside of them). Of what is left, text
+    length and punctuation are summed for each root-to-leaf tag path, divided by the path's blocks, smoothed along the page, multiplied, averaged,
+    counted more inside elements named as articles (a prior, no rule), and cut at half of what the page's middle character has. Returned are the
+    blocks chosen so, and all others, however short and linked, of the deepest element that holds most of their scores (of that named as an
+    article round it, if there is one; then no block outside is returned) and of elements of the same tag path or named as articles that are mostly
+    chosen. In an element not named as an article, lists of nothing but links before the first or after the last chosen block are left out.
 
     Null or empty pages give an empty text, ids and urls may be null and repeat, and pages of any length are read whole. Other columns are
     not read. Each page is worked on by itself, so nothing is shuffled.

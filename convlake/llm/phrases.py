@@ -150,12 +150,19 @@ def _grams(joined: bytes) -> list[bytes]:
 
 def _count(min_count: int):
     def counted(lang: str, totals: dict[int, Counter]) -> Iterator[tuple]:
-        flow: Counter = Counter()
-        for edge, n in totals[4].items():
-            flow[edge[: edge.rindex(b" ")]] += n
-        for edge, n in totals[4].items():
-            if n >= min_count and edge[-1:] != b" ":
-                yield lang, 4, edge, n, flow[edge[: edge.rindex(b" ")]]
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        edges, n = list(totals[4]), np.fromiter(totals[4].values(), np.int64, len(totals[4]))
+        cut = pc.split_pattern(pa.array(edges, pa.binary()), b" ", max_splits=1, reverse=True).flatten()  # node, next word, node, ...
+        nodes = cut.take(pa.array(np.arange(0, 2 * len(edges), 2))).dictionary_encode()
+        through = np.zeros(len(nodes.dictionary), np.int64)
+        np.add.at(through, at := nodes.indices.to_numpy(), n)
+        for i in np.flatnonzero(n >= min_count).tolist():
+            if edges[i][-1:] != b" ":
+                yield lang, 4, edges[i], int(n[i]), int(through[at[i]])
+        often = np.flatnonzero(through >= min_count)
+        flow = dict(zip(nodes.dictionary.take(pa.array(often)).to_pylist(), through[often].tolist()))
         for size, grams in ((3, flow), (2, totals[2]), (1, totals[1])):
             for gram, n in grams.items():
                 if n >= min_count:

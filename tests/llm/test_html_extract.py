@@ -122,3 +122,29 @@ def test_nulls_empty_table_and_clashing_columns(spark):
     assert extract(spark.createDataFrame([], schema)).count() == 0
     got = extract(spark.createDataFrame([(None, None, None, "x", 1), (1, "u", "<p>a", "x", 1), (1, "u", "<p>a", "x", 1)], schema)).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
+
+
+TWO = "<p>The first paragraph is a long one, with commas, and it ends here.</p><p>The second one is as long as the first, or longer, with an end.</p>"
+TWO_TEXT = "The first paragraph is a long one, with commas, and it ends here.\n\nThe second one is as long as the first, or longer, with an end."
+
+
+@pytest.mark.parametrize("name", ['div class="post no-sidebar"', 'div class="content-with-sidebar"', 'section class="has-share"', 'div class="sidebar-left"', 'div id="comment-enabled"', 'div class="newsletter form"'])
+def test_words_do_not_drop_what_holds_the_page(name):
+    assert main_text(f"<body><h1>Title</h1><{name}>{TWO}</{name.split()[0]}></body>").removeprefix("Title\n\n") == TWO_TEXT
+    assert main_text(f"<body><{name}><h1>Title</h1>{TWO}</{name.split()[0]}><div class='sidebar'><p>Other, short.</p></div></body>") == f"Title\n\n{TWO_TEXT}"
+
+
+@pytest.mark.parametrize("tag", ['section id="user-feedback"', 'section class="comments"', 'div id="disqus_thread" class="replies"'])
+def test_comments_behind_a_named_article_stay_out(tag):
+    comments = "<p>I read this, and I liked it, all of it, from the first line to the last.</p>" * 2
+    for name in ("main", "article"):
+        assert main_text(f"<body><{name}>{TWO}</{name}><{tag}>{comments}</{tag.split()[0]}></body>") == TWO_TEXT
+    long = comments * 40
+    assert main_text(f"<body><article>{TWO}</article><section class='comments'>{long}</section></body>") == TWO_TEXT
+
+
+def test_adverts_and_notices_inside_the_article_go():
+    inside = "<div class='ad-slot'>Buy it now!</div><div class='newsletter'><p>Sign up, for free.</p></div>"
+    first, second = TWO.split("</p><p>")
+    assert main_text(f"<body><article>{first}</p>{inside}<p>{second}</article></body>") == TWO_TEXT
+    assert main_text(f"<body><div class='x'>{first}</p>{inside}<p>{second}</div></body>") == TWO_TEXT
