@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from convlake.functions.text import CHARS_PER_TOKEN
 
+#: Rows of a group that may still fit behind the first that does not, up to which they are folded in one row.
+MANY = 100_000
+
 
 def prefix_offsets(df: DataFrame, keys: list[str], order: list, size: str = "tokens", start: int = 0) -> DataFrame:
     """offset: the sizes of all earlier rows, from start."""
@@ -27,27 +30,53 @@ def take_until_overflow(df: DataFrame, keys: list[str], order: list, budget: int
     return df.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
-def take_what_fits(df: DataFrame, keys: list[str], order: list, budget: int, size: str = "tokens", item: str = "rid", most: int | None = None) -> DataFrame:
-    """keys, item: rows in order, passing over each that does not fit or comes when `most` are taken already.
+def take_what_fits(df: DataFrame, keys: list[str], order: list, budget: int, size: str = "tokens", item: str = "rid", most: int | None = None, many: int = MANY) -> DataFrame:
+    """keys, item: rows in order, passing over each that does not fit or comes when `most` are taken already. A null size is 0, as is a negative one.
 
-    A group's rows pass through one task in order and nothing but its running total is held, so groups may be of any size.
+    Rows up to the first that does not fit are a running sum. Of the others only those count that are no larger than the room that is left
+    then, as it can only shrink: these few are folded in order inside their group's row. A group with more than `many` of them passes
+    through a task in order instead, which holds nothing but a running total.
     """
-    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, item, F.col(size).cast("long").alias("_size"))
+    group = Window.partitionBy(*keys)
+    rows = df.select(*keys, item, F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("_size"), F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("_at"))
+    ordered = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    fits = F.col("_used") <= budget if most is None else (F.col("_used") <= budget) & (F.col("_at") <= most)
+    rows = rows.withColumn("_used", F.sum("_size").over(ordered)).withColumn("_fits", fits)
+    rows = rows.withColumn("_room", budget - F.coalesce(F.max(F.when(F.col("_fits"), F.col("_used"))).over(group), F.lit(0))).withColumn("_left", F.lit(most) - F.count_if("_fits").over(group))
+    may = ~F.col("_fits") & (F.col("_size") <= F.col("_room")) & F.coalesce(F.col("_left") > 0, F.lit(True))
+    rows = rows.withColumn("_may", may).withColumn("_n", F.count_if("_may").over(group))
+    head = rows.where("_fits").select(*keys, item)
+    found = rows.where(F.col("_may") & (F.col("_n") <= many)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", "_size", item))).alias("_rows"), F.first("_room").alias("_room"), F.first("_left").alias("_left"))
+    start = F.struct(F.col("_room").alias("room"), F.array().cast(f"array<{df.schema[item].dataType.simpleString()}>").alias("taken"))
+
+    def step(state, row):
+        more = row["_size"] <= state["room"]
+        if most is not None:
+            more = more & (F.size(state["taken"]) < F.col("_left"))
+        return F.when(more, F.struct((state["room"] - row["_size"]).alias("room"), F.concat(state["taken"], F.array(row[item])).alias("taken"))).otherwise(state)
+
+    folded = found.select(*keys, F.explode(F.aggregate("_rows", start, step)["taken"]).alias(item))
+    return head.unionByName(folded).unionByName(_streamed(rows.where(F.col("_may") & (F.col("_n") > many)), keys, item))
+
+
+def _streamed(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """The same of groups of any size: a task passes a group's rows in order and holds its running total."""
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "_at").select(*keys, item, "_size", "_room", F.coalesce("_left", F.lit(1 << 62)).alias("_left"))
 
     def run(batches: Iterator) -> Iterator:
         group, used, n = None, 0, 0
         for batch in batches:
             taken = []
             names = batch[keys].astype(object).where(batch[keys].notna(), None)
-            for key, one in zip(names.itertuples(index=False, name=None), batch["_size"].tolist()):
+            for key, one, room, left in zip(names.itertuples(index=False, name=None), batch["_size"].tolist(), batch["_room"].tolist(), batch["_left"].tolist()):
                 if key != group:
                     group, used, n = key, 0, 0
-                fits = used + one <= budget and (most is None or n < most)
+                fits = used + one <= room and n < left
                 used, n = used + one * fits, n + fits
                 taken.append(fits)
-            yield batch[taken].drop(columns="_size")
+            yield batch[taken].drop(columns=["_size", "_room", "_left"])
 
-    return rows.mapInPandas(run, rows.drop("_size").schema)
+    return rows.mapInPandas(run, rows.drop("_size", "_room", "_left").schema)
 
 
 def oldest_until(df: DataFrame, keys: list[str], order: list, target: Column, saving: str = "saving", least: int = 0) -> DataFrame:
