@@ -174,7 +174,8 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Other columns are not read. An empty table gives no rows.
     """
     n = len(FILTERS)
-    sizes = store(set_sizes(posting_lists(flagged(docs, labels, id_col, text_col, part_col), n, range_docs)), "audit-sizes")
+    postings = store(posting_lists(flagged(docs, labels, id_col, text_col, part_col), n, range_docs), "audit-postings")
+    sizes = store(set_sizes(postings), "audit-sizes")
     # the number of orders in which exactly the filters of mask come before the filter
     weight = F.element_at(F.array(*(F.lit(factorial(k) * factorial(n - 1 - k)) for k in range(n))), F.bit_count("mask") + 1)
     own = sizes.groupBy("part", "filter").agg(
