@@ -10,7 +10,7 @@ from convlake.operators import leaves
 from convlake.plans.registry import query
 from convlake.sources.archive import archive, read
 
-QUERY, QUESTION = "quere deren", "what is the stein of tioninea or anden"
+QUERY, QUESTION, PLAIN = "thhe eron", "is erth or onre beside ouelle que", "que und"
 
 
 def _choice(name: str, question: str, strict: bool) -> str:
@@ -53,9 +53,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return leaves.choose(_lines(spark, d), "doc_id", "pos", "line", QUESTION).select("doc_id", _shown("units"), "reason")
 
 
-@query("lf16_chosen_lines_strict", f"WITH {_UNITS}, {_choice('c', 'the stein', True)} SELECT doc_id, {_SHOWN}, reason FROM c")
+@query("lf16_chosen_lines_strict", f"WITH {_UNITS}, {_choice('c', PLAIN, True)} SELECT doc_id, {_SHOWN}, reason FROM c")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return leaves.choose(_lines(spark, d), "doc_id", "pos", "line", "the stein", strict=True).select("doc_id", _shown("units"), "reason")
+    return leaves.choose(_lines(spark, d), "doc_id", "pos", "line", PLAIN, strict=True).select("doc_id", _shown("units"), "reason")
 
 
 @query(
