@@ -11,6 +11,8 @@ from convlake.functions.text import terms
 from convlake.operators.search import equal_to
 
 MAX_CHARS, OVER_LIMIT = 2_000_000, "over limit"
+# How a line of a log begins.
+STAMP = r"^\[?(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|\d{2}:\d{2}:\d{2}|[A-Z][a-z]{2} +\d+ \d{2}:\d{2}:\d{2})"
 UNITS = "format string, unit int, first_line int, n_lines int"
 
 
@@ -35,13 +37,16 @@ def csv_records(df: DataFrame, key: str, body: str) -> DataFrame:
     return rows.withColumn("ok", ok).where("ok AND pos > 0").select(key, F.col("pos").alias("row"), "fields")
 
 
-def log_records(df: DataFrame, key: str, body: str, least_stamped: float = 0.5) -> DataFrame:
-    """Records of logs: a line with a time stamp and the lines after it that have none: key, unit (from 1), first_line (from 0), n_lines."""
-    rows = _numbered(df, key, body).withColumn("stamped", F.col("line").rlike(r"^\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d"))
-    whole = Window.partitionBy(key)
-    rows = rows.withColumn("ok", (F.avg(F.col("stamped").cast("int")).over(whole) >= least_stamped) & F.max((F.col("pos") == 0) & F.col("stamped")).over(whole))
-    w = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    units = rows.where("ok").withColumn("unit", F.sum(F.col("stamped").cast("int")).over(w))
+def log_records(df: DataFrame, key: str, body: str, least_stamped: float = 0.8, least_lines: int = 4) -> DataFrame:
+    """Records of logs: a line with a time stamp and the lines after it that have none: key, unit (from 1), first_line (from 0), n_lines.
+
+    Blank lines do not count. A text is a log if at least least_stamped of its least_lines or more lines have a stamp, the first among them.
+    """
+    rows = _numbered(df, key, body).where(F.btrim("line") != "").withColumn("stamped", F.col("line").rlike(STAMP))
+    log = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if("stamped").alias("n_stamped"), F.min_by("stamped", "pos").alias("first"))
+    log = log.where(F.col("first") & (F.col("n") >= least_lines) & (F.col("n_stamped") >= least_stamped * F.col("n"))).select(key)
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    units = rows.join(log, key, "left_semi").withColumn("unit", F.sum(F.col("stamped").cast("int")).over(w))
     return units.groupBy(key, "unit").agg(F.min("pos").alias("first_line"), F.count("*").alias("n_lines"))
 
 

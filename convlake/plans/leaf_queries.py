@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlake.functions import text as X
-from convlake.operators import leaves
+from convlake.operators import leaves, outline
 from convlake.plans.registry import query
 from convlake.sources.archive import archive, read
 
@@ -79,3 +79,43 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     return leaves.shared_room(archive(spark, d), ["conv"], ["idx"], 400, frame=10).select("conv", "idx", "granted")
+
+
+@query(
+    "lf06_column_tables",
+    """WITH t AS (SELECT part_order.*, count(*) OVER (PARTITION BY l_orderkey) AS n, l_orderkey % 4 AS kind FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS line_no, l_partkey, l_suppkey, l_shipdate, l_comment_words
+         FROM (SELECT *, l_returnflag || ' ' || l_linestatus AS l_comment_words FROM lineitem)) part_order)
+       SELECT l_orderkey, line_no, l_partkey::VARCHAR AS part, l_suppkey::VARCHAR AS supplier, l_shipdate::DATE::VARCHAR AS shipped, CASE WHEN kind = 1 AND line_no = 1 THEN '' ELSE l_comment_words || CASE WHEN kind = 0 THEN ' more' ELSE '' END END AS note
+       FROM t WHERE n >= 2 AND kind < 2""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """An order's lines as an aligned table: with notes of any length, without the first note, with headings in small letters, as prose."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = read(spark, d, "lineitem").select("l_orderkey", F.row_number().over(order).alias("at"), "l_partkey", "l_suppkey", F.to_date("l_shipdate").cast("string").alias("shipped"), "l_returnflag", "l_linestatus")
+    kind = F.col("l_orderkey") % 4
+    note = F.when((kind == 1) & (F.col("at") == 1), F.lit("")).otherwise(F.concat_ws(" ", "l_returnflag", "l_linestatus", F.when(kind == 0, F.lit("more"))))
+    gap = F.when(kind == 3, F.lit(" ")).otherwise(F.lit("  "))
+    line = F.rtrim(F.concat(F.rpad(F.col("l_partkey").cast("string"), 12, " "), gap, F.rpad(F.col("l_suppkey").cast("string"), 12, " "), gap, F.rpad("shipped", 10, " "), gap, note))
+    line = F.when(kind == 3, F.regexp_replace(line, " +", " ")).otherwise(line)
+    head = F.when(kind == 2, F.lit("part          supplier      shipped     note")).otherwise(F.lit("PART          SUPPLIER      SHIPPED     NOTE"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n")
+    texts = rows.groupBy("l_orderkey").agg(F.concat(F.first(head), F.lit("\n"), lines).alias("body"))
+    cells = [F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(("part", "supplier", "shipped", "note"))]
+    return outline.column_tables(texts, "l_orderkey", "body").select("l_orderkey", "line_no", *cells)
+
+
+@query(
+    "lf01_line_ancestors",
+    """WITH RECURSIVE l AS (SELECT doc_id, pos, indent, max(pos) AS last_pos FROM (
+           SELECT doc_id, (pos - 1)::INT AS pos, length(line) % 5 AS indent FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(line) <> '') GROUP BY ALL),
+       p AS (SELECT a.doc_id, a.pos, a.indent, max(b.pos) AS parent FROM l a LEFT JOIN l b ON b.doc_id = a.doc_id AND b.pos < a.pos AND b.indent < a.indent GROUP BY ALL),
+       r AS (SELECT doc_id, pos, indent, parent AS up, '' AS path FROM p UNION ALL SELECT r.doc_id, r.pos, r.indent, p.parent, r.up || '/' || r.path FROM r JOIN p ON p.doc_id = r.doc_id AND p.pos = r.up)
+       SELECT doc_id, pos AS line_no, indent::INT AS indent, path FROM r WHERE up IS NULL""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' lines, indented by the rest of their length over 5."""
+    line = lambda x: F.concat(F.repeat(F.lit(" "), F.length(x) % 5), F.ltrim(x))
+    texts = read(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("body"))
+    found = outline.line_ancestors(texts, "doc_id", "body")
+    path = F.concat(F.array_join(F.transform("ancestors", lambda a: a.cast("string")), "/"), F.when(F.size("ancestors") > 0, "/").otherwise(""))
+    return found.select("doc_id", "line_no", "indent", path.alias("path"))

@@ -192,12 +192,12 @@ def test_lifecycle(spark):
 
 
 def test_records(spark):
-    texts = [("md", "| a | b |\n|---|---|\n| 1 | x |\n| 2 | y |"), ("csv", "id,name\n1,x\n2,y"), ("log", "2024-01-01 10:00:00 a\n  more\n2024-01-01 10:00:01 b"), ("json", '[\n{"a": 1},\n{"a": 2}\n]'),
+    texts = [("md", "| a | b |\n|---|---|\n| 1 | x |\n| 2 | y |"), ("csv", "id,name\n1,x\n2,y"), ("log", "2024-01-01 10:00:00 a\n  more\n[2024-01-01 10:00:01] b\n\n10:00:02 c\nJan  1 10:00:03 d\n2024-01-01T10:00:04 e"), ("half", "2024-01-01 10:00:00 a\n  more\n2024-01-01 10:00:01 b\n  more"), ("late", "x\n" + "10:00:02 c\n" * 9), ("json", '[\n{"a": 1},\n{"a": 2}\n]'),
              ("toml", "[a]\nx = 1\n[b]\ny = 2"), ("xml", "<s>\n<a>1</a>\n</s>"), ("git", "commit abcdef1\nx\ncommit abcdef2\ny"), ("diff", "--- a\n+++ b\n@@ -1 +1 @@\n-x\n+y"), ("py", "def f():\n    return 1\n\nx = 2"), ("no", "just: [broken\n{\nx")]
     df = spark.createDataFrame(texts, "k string, body string")
     assert {(r.k, r.row, tuple(r.cells)) for r in records.markdown_rows(df, "k", "body").collect()} == {("md", 1, ("1", "x")), ("md", 2, ("2", "y"))}
     assert {(r.row, tuple(r.fields)) for r in records.csv_records(df, "k", "body").collect() if r.k == "csv"} == {(1, ("1", "x")), (2, ("2", "y"))}
-    assert {(r.unit, r.first_line, r.n_lines) for r in records.log_records(df, "k", "body").collect()} == {(1, 0, 2), (2, 2, 1)}
+    assert {(r.unit, r.first_line, r.n_lines) for r in records.log_records(df, "k", "body").collect()} == {(1, 0, 2), (2, 2, 1), (3, 4, 1), (4, 5, 1), (5, 6, 1)}
     units = {}
     for r in records.parse_units(df, "k", "body").collect():
         units.setdefault((r.k, r.format), []).append((r.first_line, r.n_lines))
