@@ -131,20 +131,33 @@ def segment_cut(df: DataFrame, keys: list[str], most: int) -> DataFrame:
 
 
 def calibrated_scale(samples: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """keys, n_accepted, scale: an ordered fold over (estimated, real).
+    """keys, n_accepted, scale: an ordered fold over (estimated, real). A task passes a group's samples in order and holds one state.
 
     Samples of at most 1,000 estimated tokens or with a ratio outside 0.25 to 4 are passed over. pending is multiplied by 0.7 + 0.3 x ratio and kept
     within 0.5 and 2; the scale may only rise until 5 samples are accepted, then it is pending.
     """
-    rows = F.array_sort(F.collect_list(F.struct(order, F.col("estimated").cast("double").alias("e"), F.col("real").cast("double").alias("r"))))
-    start = F.struct(F.lit(1.0).alias("pending"), F.lit(1.0).alias("scale"), F.lit(0).alias("n"))
-
-    def step(a: Column, x: Column) -> Column:
-        ratio = x["r"] / x["e"]
-        pending = F.greatest(F.lit(0.5), F.least(F.lit(2.0), a["pending"] * (0.7 + 0.3 * ratio)))
-        n = a["n"] + 1
-        scale = F.when(n >= 5, pending).otherwise(F.greatest(a["scale"], pending))
-        ok = (x["e"] > 1000) & (ratio >= 0.25) & (ratio <= 4)
-        return F.when(ok, F.struct(pending.alias("pending"), scale.alias("scale"), n.alias("n"))).otherwise(a)
-
-    return samples.groupBy(*keys).agg(rows.alias("rows")).select(*keys, F.aggregate("rows", start, step).alias("state")).select(*keys, F.col("state.n").alias("n_accepted"), F.round("state.scale", 9).alias("scale"))
+    rows = samples.select(*keys, order, F.col("estimated").cast("double").alias("_e"), F.col("real").cast("double").alias("_r")).repartition(*keys).sortWithinPartitions(*keys, order)
+    schema = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys) + ", n_accepted int, scale double"
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        key, state, done = None, None, []
+        for batch in batches:
+            names = batch[keys].astype(object).where(batch[keys].notna(), None)
+            for own, e, r in zip(names.itertuples(index=False, name=None), batch["_e"].tolist(), batch["_r"].tolist()):
+                if own != key or state is None:
+                    if state is not None:
+                        done.append((*key, state[2], round(state[1], 9)))
+                    key, state = own, (1.0, 1.0, 0)
+                if e > 1000 and 0.25 <= r / e <= 4:  # a null is no number and passes neither
+                    pending, n = max(0.5, min(2.0, state[0] * (0.7 + 0.3 * (r / e)))), state[2] + 1
+                    state = pending, pending if n >= 5 else max(state[1], pending), n
+            if len(done) > 10_000:
+                yield pd.DataFrame(done, columns=[*keys, "n_accepted", "scale"])
+                done = []
+        if state is not None:
+            done.append((*key, state[2], round(state[1], 9)))
+        yield pd.DataFrame(done, columns=[*keys, "n_accepted", "scale"])
+
+    return rows.mapInPandas(run, schema)

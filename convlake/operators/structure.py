@@ -81,15 +81,14 @@ def covered(spans: DataFrame, by: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("_reach", reach).where("_own = 1 AND b <= _reach").drop("_own", "_reach")
 
 
-def saved_prefixes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The longest text of a smaller key that a text begins with, all of it: key, longest, saved (the smallest key of that text).
+def prefix_hashes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, n, h): the hash of a text's first n characters, for the lengths n at which it may begin with another text, its own among them.
 
     Texts are hashed, in one running pass, at the lengths n of texts that are shorter than HEAD or have the same first 2^k characters,
-    2^k <= n < 2^(k+1), and joined by length and hash. Empty texts are no prefix; texts without a saved prefix have no row.
+    2^k <= n < 2^(k+1). Empty texts have none.
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(key, text, F.length(text).alias("n")).where("n > 0")
-    saved = rows.groupBy("n", F.unhex(F.sha2(text, 256)).alias("h")).agg(F.min(key).alias("saved"))
     short = rows.where(F.col("n") < HEAD).agg(F.collect_set("n").alias("short"))
     powers = F.filter(F.array(*(F.lit(2**k) for k in range(5, 31))), lambda p: p <= F.col("n"))
     heads = rows.where(F.col("n") >= HEAD).select(key, "n", F.explode(F.transform(powers, lambda p: F.struct(p.alias("p"), F.xxhash64(F.substring(F.col(text), F.lit(1), p)).alias("x")))).alias("head"))
@@ -119,5 +118,20 @@ def saved_prefixes(df: DataFrame, key: str, text: str) -> DataFrame:
 
     # one row of fewer than HEAD lengths
     asked = rows.where(F.col(key).isNotNull()).select(key, text).join(asked, key, "left").crossJoin(F.broadcast(short)).select(key, text, "lengths", "short")
-    probes = asked.mapInPandas(run, f"k {kind}, n int, h binary")
-    return probes.join(saved, ["n", "h"]).where("saved < k").groupBy(F.col("k").alias(key)).agg(F.max("n").alias("longest"), F.max_by("saved", "n").alias("saved"))
+    return asked.mapInPandas(run, f"k {kind}, n int, h binary")
+
+
+def saved_prefixes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The longest text of a smaller key that a text begins with, all of it: key, longest, saved (the smallest key of that text).
+
+    Empty texts are no prefix; texts without a saved prefix have no row.
+    """
+    saved = df.where(F.length(text) > 0).groupBy(F.length(text).alias("n"), F.unhex(F.sha2(text, 256)).alias("h")).agg(F.min(key).alias("saved"))
+    return prefix_hashes(df, key, text).join(saved, ["n", "h"]).where("saved < k").groupBy(F.col("k").alias(key)).agg(F.max("n").alias("longest"), F.max_by("saved", "n").alias("saved"))
+
+
+def superseded(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Texts with which one of a larger key begins, all of it: key, superseded_by (the largest such key). Empty texts are never superseded."""
+    newest = prefix_hashes(df, key, text).groupBy("n", "h").agg(F.max("k").alias("superseded_by"))
+    own = df.where(F.length(text) > 0).select(key, F.length(text).alias("n"), F.unhex(F.sha2(text, 256)).alias("h"))
+    return own.join(newest, ["n", "h"]).where(F.col(key) < F.col("superseded_by")).select(key, "superseded_by")

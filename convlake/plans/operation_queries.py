@@ -41,12 +41,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return prefixes.join(first, ["n", "h"]).where("saved < doc_id").groupBy("doc_id").agg(F.max("n").alias("longest"), F.max_by("saved", "n").alias("saved"))
 
 
-@query("jn11_saved_prefix")
+@query("jn11_saved_prefix", "SELECT a.doc_id, max(length(b.text)) AS longest, arg_min(b.doc_id, b.doc_id - 1e12 * length(b.text)) AS saved FROM documents a JOIN documents b ON b.doc_id < a.doc_id AND length(b.text) > 0 AND starts_with(a.text, b.text) GROUP BY a.doc_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """The whole job of which jn11_longest_prefix and its SQL state three lengths."""
     return structure.saved_prefixes(read(spark, d, "documents"), "doc_id", "text")
 
 
+@query("jn12_superseded_saves", "SELECT a.doc_id, max(b.doc_id) AS superseded_by FROM documents a JOIN documents b ON b.doc_id > a.doc_id AND length(a.text) > 0 AND starts_with(b.text, a.text) GROUP BY a.doc_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return structure.superseded(read(spark, d, "documents"), "doc_id", "text")
+
+
 @query("ag19_weights", "SELECT sum(length(html))::BIGINT AS whole, sum(length(html) - length(regexp_replace(html, '<[^>]*>', '', 'g')))::BIGINT AS frame FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
     n = F.length("html")

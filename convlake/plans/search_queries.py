@@ -277,7 +277,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return archive(spark, d).groupBy("conv").agg((F.sum(cost) + 3).alias("prompt"))
 
 
-@query("ta05_calibration")
+@query(
+    "ta05_calibration",
+    f"""WITH RECURSIVE o AS (SELECT source, floor(length(text) / 3.5 + 0.5) + 900 AS e, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) * 2 + 700 AS r, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+      f AS (SELECT source, 0::BIGINT AS k, 1.0::DOUBLE AS pending, 1.0::DOUBLE AS scale, 0 AS n FROM (SELECT DISTINCT source FROM documents)
+            UNION ALL SELECT o.source, o.k, CASE WHEN ok THEN p ELSE f.pending END, CASE WHEN NOT ok THEN f.scale WHEN f.n + 1 >= 5 THEN p ELSE greatest(f.scale, p) END, f.n + ok::INT
+            FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.k = f.k + 1,
+            LATERAL (SELECT coalesce(o.e > 1000 AND o.r / o.e BETWEEN 0.25 AND 4, FALSE) AS ok, greatest(0.5::DOUBLE, least(2.0::DOUBLE, f.pending * (0.7::DOUBLE + 0.3::DOUBLE * (o.r / o.e)))) AS p))
+    SELECT source, arg_max(n, k) AS n_accepted, round(arg_max(scale, k), 9) AS scale FROM f GROUP BY source""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     samples = read(spark, d, "documents").select("source", "doc_id", (X.estimate_tokens(F.col("text")) + 900).alias("estimated"), (F.size(X.words(F.col("text"))) * 2 + 700).alias("real"))
     return budget.calibrated_scale(samples, ["source"], "doc_id")
@@ -351,7 +359,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(texts, "|"), 256).alias("h"))
 
 
-@query("framed_hash_chain")
+_LE8 = " || ".join(f"substr(n, {15 - 2 * i}, 2)" for i in range(8))
+
+
+@query("framed_hash_chain", f"SELECT conv_id, sha256(unhex(string_agg({_LE8} || h, '' ORDER BY turn))) AS h FROM (SELECT conv_id, turn, lpad(printf('%x', strlen(text)), 16, '0') AS n, hex(encode(text)) AS h FROM conversations) GROUP BY conv_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     return read(spark, d, "conversations").groupBy("conv_id").agg(X.framed_hash(texts).alias("h"))

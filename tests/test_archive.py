@@ -260,3 +260,5 @@ def test_saved_prefixes_have_any_length(spark):
         if found:
             expected[i] = (max(found)[0], -max(found)[1])
     assert got == expected and got[14] == (5000, 3) and got[16] == (6000, 7)
+    newer = {r.doc_id: r.superseded_by for r in structure.superseded(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert newer == {i: max(j for j, t in enumerate(texts) if j > i and t.startswith(s)) for i, s in enumerate(texts) if s and any(j > i and t.startswith(s) for j, t in enumerate(texts))}
