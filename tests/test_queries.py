@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from convlake.plans import archive_queries, bench_queries, coverage_queries, import_queries, leaf_queries, operation_queries, owner_queries, recall_queries, search_queries, table_function_queries  # noqa: F401
+from convlake.plans import archive_queries, bench_queries, coverage_queries, import_queries, leaf_queries, mark_queries, operation_queries, owner_queries, recall_queries, search_queries, table_function_queries  # noqa: F401
 from convlake.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
