@@ -44,9 +44,9 @@ def log_records(df: DataFrame, key: str, body: str, least_stamped: float = 0.8,
     """
     rows = _numbered(df, key, body).where(F.btrim("line") != "").withColumn("stamped", F.col("line").rlike(STAMP))
     log = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if("stamped").alias("n_stamped"), F.min_by("stamped", "pos").alias("first"))
-    log = log.where(F.col("first") & (F.col("n") >= least_lines) & (F.col("n_stamped") >= least_stamped * F.col("n"))).select(key)
+    log = log.where(F.col("first") & (F.col("n") >= least_lines) & (F.col("n_stamped") >= least_stamped * F.col("n"))).select(F.col(key).alias("log_key"))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    units = rows.join(log, key, "left_semi").withColumn("unit", F.sum(F.col("stamped").cast("int")).over(w))
+    units = rows.join(log, F.col(key).eqNullSafe(F.col("log_key")), "left_semi").withColumn("unit", F.sum(F.col("stamped").cast("int")).over(w))
     return units.groupBy(key, "unit").agg(F.min("pos").alias("first_line"), F.count("*").alias("n_lines"))
 
 

@@ -466,12 +466,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return units.select("conv", F.element_at("fields", 1).cast("int").alias("idx"), F.element_at("fields", 2).alias("op"), F.element_at("fields", 3).alias("path"))
 
 
-@query("lf12_log_records", "WITH <ops> SELECT conv, idx, CASE WHEN failed THEN 2 ELSE 1 END AS n_lines FROM ops WINDOW w AS (PARTITION BY conv) QUALIFY count(*) OVER w >= 0.8 * (count(*) OVER w + count(*) FILTER (failed) OVER w) AND count(*) OVER w + count(*) FILTER (failed) OVER w >= 4")
+@query("lf12_log_records", "WITH <ops> SELECT conv, idx, CASE WHEN failed THEN 2 ELSE 1 END AS n_lines FROM ops")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), "op", F.lit(" "), "idx", F.when(F.col("failed"), F.lit("\n  at here")).otherwise(F.lit("")))
+    """Records of every conversation's log: what is written here is a log for sure, so no share of stamped lines or number of lines is asked for."""
+    stamp = F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("0000-00-00 00:00:00"))
+    line = F.concat(F.concat_ws(" ", stamp, "op", "idx"), F.when(F.col("failed"), F.lit("\n  at here")).otherwise(F.lit("")))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("r")))), lambda x: x["r"])
     logs = file_ops(spark, d).groupBy("conv").agg(F.array_join(rows, "\n").alias("body"))
-    units = records.log_records(logs, "conv", "body")
+    units = records.log_records(logs, "conv", "body", least_stamped=0, least_lines=1)
     return units.select("conv", (F.col("unit") - 1).alias("idx"), F.col("n_lines").cast("int").alias("n_lines"))
 
 

@@ -247,6 +247,19 @@ def test_units_of_users_with_many_events_are_whole(spark, tmp_path):
     assert [tuple(r) for r in records.parse_units(long, "k", "body").collect()] == [("a", "over limit", 0, 0, 700_003)]
 
 
+def test_logs_of_short_and_failing_conversations_are_whole(spark, tmp_path):
+    from convlake.plans.registry import QUERIES
+    from convlake.plans import search_queries  # noqa: F401
+
+    kinds = {1: ["click"], 2: ["error"] * 9, 3: ["view", "error", "view", "error"], 4: ["view"] * 8 + ["error"], None: ["view", "other", None, "error"]}
+    rows = [(10 * (user or 0) + i, user, kind) for user, of in kinds.items() for i, kind in enumerate(of)]
+    ts = F.when(F.col("event_id") != 10, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")))  # user 1's only event has no time
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string").select("event_id", ts.alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.conv or 0, r.idx, r.n_lines) for r in QUERIES["lf12_log_records"](spark, str(tmp_path)).collect())
+    assert got == sorted((user or 0, i, 1 + (kind == "error")) for user, of in kinds.items() for i, kind in enumerate(of))
+
+
 def test_saved_prefixes_have_any_length(spark):
     rng = random.Random(4)
     base = "".join(rng.choice("abé日 \U0001f600") for _ in range(6000))
