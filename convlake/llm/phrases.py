@@ -14,11 +14,12 @@ a piece that went round a cycle would have to stop at one of its nodes.
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count, islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ UNKNOWN_LANG = "und"
 #: Words (and ends of pieces) that a task counts together, a text being counted whole; bytes of text for each bucket, bytes of a text that are
 #: cut into words at a time, edges of a path row.
 BLOCK_WORDS, BUCKET_BYTES, READ_BYTES, PATH_EDGES = 1_500_000, 8 << 20, 4 << 20, 1024
+#: Grams of a bucket that are summed up together at least.
+MERGED_GRAMS = 1 << 20
 #: A byte that no text has, for the end of a piece.
 _END = b"\xff"
 _TO_END = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _END * 10)
@@ -95,7 +98,6 @@ class Block:
 
     def packed(self, lang: str, buckets: int) -> Iterator[tuple]:
         """Rows of PACKED: by bucket of the node (or of the two words, or the word) the grams that occur once, and others with their counts."""
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         names, counted = self.counted()
@@ -121,8 +123,6 @@ class Block:
 
 def _pack(buckets: int, block_words: int):
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         names = [f.split()[0] for f in PACKED.split(", ")]
         blocks: dict[str, Block] = {}
@@ -148,54 +148,59 @@ def _grams(joined: bytes) -> list[bytes]:
     return joined.split(b"\n") if joined else []
 
 
-def _count(min_count: int):
-    def counted(lang: str, totals: dict[int, Counter]) -> Iterator[tuple]:
-        import pyarrow as pa
-        import pyarrow.compute as pc
+def _unpacked(rows: pa.RecordBatch) -> pa.Table:
+    """(gram, n) of rows of PACKED, as copies: nothing of the rows is kept."""
+    import pyarrow.compute as pc
 
-        edges, n = list(totals[4]), np.fromiter(totals[4].values(), np.int64, len(totals[4]))
-        cut = pc.split_pattern(pa.array(edges, pa.binary()), b" ", max_splits=1, reverse=True).flatten()  # node, next word, node, ...
-        nodes = cut.take(pa.array(np.arange(0, 2 * len(edges), 2))).dictionary_encode()
-        through = np.zeros(len(nodes.dictionary), np.int64)
-        np.add.at(through, at := nodes.indices.to_numpy(), n)
-        for i in np.flatnonzero(n >= min_count).tolist():
-            if edges[i][-1:] != b" ":
-                yield lang, 4, edges[i], int(n[i]), int(through[at[i]])
-        often = np.flatnonzero(through >= min_count)
-        flow = dict(zip(nodes.dictionary.take(pa.array(often)).to_pylist(), through[often].tolist()))
-        for size, grams in ((3, flow), (2, totals[2]), (1, totals[1])):
-            for gram, n in grams.items():
-                if n >= min_count:
-                    yield lang, size, gram, n, None
-        if totals[1]:
-            yield lang, 0, b"", sum(totals[1].values()), None
+    once, often = (pc.split_pattern(c.filter(pc.greater(pc.binary_length(c), 0)), b"\n").flatten() for c in (rows.column("once"), rows.column("often")))
+    counts = rows.column("counts").flatten()
+    return pa.table({"gram": pa.chunked_array([once, often], pa.binary()), "n": pa.chunked_array([np.ones(len(once), np.int64), counts], pa.int64())})
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        types = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-        names = [f.split()[0] for f in COUNTED.split(", ")]
-        key, totals = None, {1: Counter(), 2: Counter(), 4: Counter()}
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    total = pa.concat_tables(parts).group_by("gram", use_threads=False).aggregate([("n", "sum")])
+    return pa.table({"gram": total["gram"], "n": total["n_sum"]}).combine_chunks()
 
-        def result() -> Iterator:
-            rows = counted(key[0], totals)
-            while some := list(islice(rows, 10_000)):
-                columns = [pa.array(c, t) for c, t in zip(zip(*some), types)]
-                columns[2] = columns[2].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=names)
 
+def _count(min_count: int):
+    """Of one language and bucket, the rows of COUNTED. Grams stay in Arrow's arrays, as objects they would take many times their bytes; those
+    of further batches are summed up whenever they have become as many as are in the sum."""
+    import pyarrow.compute as pc
+
+    def often(grams: pa.Table) -> pa.Table:
+        return grams.filter(pc.greater_equal(grams["n"], min_count))
+
+    def through(edges: pa.Table) -> tuple[pa.Table, pa.Table]:
+        """Edges without ends of pieces, with the flow of the node that each leaves; nodes. Both that occur often enough."""
+        cut = pc.split_pattern(edges["gram"].combine_chunks(), b" ", max_splits=1, reverse=True).flatten()  # node, next word, node, ...
+        nodes = cut.take(pa.array(np.arange(0, 2 * len(edges), 2))).dictionary_encode()
+        n, at = edges["n"].to_numpy(), nodes.indices.to_numpy()
+        flow = np.zeros(len(nodes.dictionary), np.int64)
+        np.add.at(flow, at, n)
+        edges = often(edges.append_column("flow", [flow[at]]))
+        return edges.filter(pc.invert(pc.ends_with(edges["gram"], b" "))), often(pa.table({"gram": nodes.dictionary, "n": flow}))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[pa.Table]] = {4: [], 2: [], 1: []}
         for batch in batches:
-            for i in range(batch.num_rows):
-                lang, bucket, size, once, often, counts = (c[i].as_py() for c in batch.columns)
-                if key is not None and key != (lang, bucket):
-                    yield from result()
-                    totals = {1: Counter(), 2: Counter(), 4: Counter()}
-                key, total = (lang, bucket), totals[size]
-                total.update(_grams(once))
-                for gram, n in zip(_grams(often), counts):
-                    total[gram] += n
-        if key is not None:
-            yield from result()
+            for size in set(batch.column("size").to_pylist()):
+                held = parts[size]
+                held.append(_unpacked(batch.filter(pc.equal(batch.column("size"), size))))
+                if sum(map(len, held[1:])) > max(MERGED_GRAMS, len(held[0])):
+                    parts[size] = [_summed(held)]
+        totals = {size: _summed(held) for size, held in parts.items() if held}
+        parts.clear()
+        found = {}
+        if 4 in totals:
+            found[4], found[3] = through(totals.pop(4))
+        found |= {size: often(total) for size, total in totals.items()}
+        if 1 in totals:
+            found[0] = pa.table({"gram": pa.array([b""], pa.binary()), "n": [pc.sum(totals[1]["n"])]})
+        lang = key[0].as_py()
+        for size, grams in found.items():
+            flow = grams["flow"] if size == 4 else pa.nulls(len(grams), pa.int64())
+            columns = [pa.array([lang] * len(grams), pa.string()), pa.array(np.full(len(grams), size, np.int32)), grams["gram"].cast(pa.string()), grams["n"], flow]
+            yield from pa.table(columns, names=[f.split()[0] for f in COUNTED.split(", ")]).to_batches(max_chunksize=10_000)
 
     return run
 
@@ -206,7 +211,7 @@ def frequent_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed = rows.mapInArrow(_pack(1 + size // bucket_bytes, block_words), PACKED)
-    return packed.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_count(min_count), COUNTED)
+    return packed.groupBy("lang", "bucket").applyInArrow(_count(min_count), COUNTED)
 
 
 def first_words(gram: str | Column, n: int) -> Column:

@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,34 @@ def test_blocks(monkeypatch, read_bytes):
         assert found == expected
 
 
+def test_buckets_are_counted_in_arrays(monkeypatch):
+    rng = random.Random(3)
+    batches, expected, size = [], {4: Counter(), 2: Counter(), 1: Counter()}, 0
+    for _ in range(8):
+        block = phrases.Block()
+        block.add(". ".join(" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(0, 40))) for _ in range(1500)))
+        rows = list(block.packed("en", 1))
+        for _, _, k, once, often, counts in rows:
+            expected[k].update(phrases._grams(once) + [g for g, n in zip(phrases._grams(often), counts) for _ in range(n)])
+            size += len(once) + len(often)
+        types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        batches += [pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=[f.split()[0] for f in phrases.PACKED.split(", ")]) for row in rows]
+    through: Counter = Counter()
+    for edge, n in expected[4].items():
+        through[edge.rsplit(b" ", 1)[0]] += n
+    wanted = {(4, e.decode(), n, through[e.rsplit(b" ", 1)[0]]) for e, n in expected[4].items() if n > 2 and not e.endswith(b" ")}
+    wanted |= {(k, g.decode(), n, None) for k, grams in ((3, through), (2, expected[2]), (1, expected[1])) for g, n in grams.items() if n > 2}
+    wanted.add((0, "", sum(expected[1].values()), None))
+    for merged in (1 << 20, 0):
+        monkeypatch.setattr(phrases, "MERGED_GRAMS", merged)
+        tracemalloc.start()
+        found = list(phrases._count(3)((pa.scalar("en"), pa.scalar(0)), iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {(r["size"], r["gram"], r["n"], r["flow"]) for b in found for r in b.to_pylist()} == wanted and sum(b.num_rows for b in found) == len(wanted)
+        assert peak < 2 * size  # dicts of them took 6.8 times their bytes
+
+
 def test_unary_nodes_become_paths(spark):
     words = [f"w{i}" for i in range(3000)]
     rows = [(" ".join(words), "en")] * 2 + [(" ".join(words[100:120]), "en"), ("p q w5 w6 w7 w8 z", "en")]
