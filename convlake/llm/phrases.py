@@ -35,8 +35,8 @@ UNKNOWN_LANG = "und"
 #: Words (and ends of pieces) that a task counts together, a text being counted whole; bytes of text for each bucket, bytes of a text that are
 #: cut into words at a time, edges of a path row.
 BLOCK_WORDS, BUCKET_BYTES, READ_BYTES, PATH_EDGES = 1_500_000, 8 << 20, 4 << 20, 1024
-#: Grams of a bucket that are summed up together at least.
-MERGED_GRAMS = 1 << 20
+#: Grams of a bucket that are summed up together at least, and about those of a block that are text at a time.
+MERGED_GRAMS, JOINED_GRAMS = 1 << 20, 1 << 17
 #: A byte that no text has, for the end of a piece.
 _END = b"\xff"
 _TO_END = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _END * 10)
@@ -74,26 +74,31 @@ class Block:
         """The words in order, and for 4, 2 and 1 words different grams as numbers of their words, with counts. An edge's last word is -1
         where a piece ends in the node. Only edges and ends are counted; what two words and one occur is what flows on from them."""
         names = sorted(self.words)  # the end of a piece is the last: no text has its byte
-        rank = np.empty(len(names), np.int64)
+        rank = np.empty(len(names), np.int32)
         rank[[self.words[w] for w in names]] = np.arange(len(names))
         stream, base = rank[np.concatenate(self.ids)], len(names)
-        places = np.arange(len(stream))
+        self.ids.clear()
+        places = np.arange(len(stream), dtype=np.int32)
         end = stream == base - 1
-        run = places - np.maximum.accumulate(np.where(end, places, -1))  # the word's place in its piece, from 1
+        run = places - np.maximum.accumulate(np.where(end, places, np.int32(-1)))  # the word's place in its piece, from 1
+        del places
         last = np.flatnonzero(end[1:] & ~end[:-1])
         second = np.flatnonzero(run >= 2)
-        pairs, number = np.unique(stream[second - 1] * base + stream[second], return_inverse=True)
+        pairs, number = np.unique(stream[second - 1].astype(np.int64) * base + stream[second], return_inverse=True)
         pair = np.zeros(len(stream), np.int64)  # the two words that end here
         pair[second] = number
+        del second, number
         fourth, third = np.flatnonzero(run >= 4), last[run[last] >= 3]
         edges, n_edges = np.unique(pair[fourth - 2] * len(pairs) + pair[fourth], return_counts=True)
         ends, n_ends = np.unique(pair[third - 1] * base + stream[third], return_counts=True)
+        ended = pair[last[run[last] >= 2]]
+        del fourth, third, pair
         out, to = np.divmod(edges, max(1, len(pairs)))
         node, word = np.divmod(ends, base)
-        flow = np.bincount(np.concatenate([out, node, pair[last[run[last] >= 2]]]), np.concatenate([n_edges, n_ends, np.ones((run[last] >= 2).sum())]), len(pairs)).astype(np.int64)
-        first, other = np.divmod(pairs, base)
+        flow = np.bincount(np.concatenate([out, node, ended]), np.concatenate([n_edges, n_ends, np.ones(len(ended))]), len(pairs)).astype(np.int64)
+        first, other = (x.astype(np.int32) for x in np.divmod(pairs, base))
         words = np.bincount(np.concatenate([first, stream[last]]), np.concatenate([flow, np.ones(len(last))]), base).astype(np.int64)[:-1]
-        grams = [np.concatenate([first[out], first[node]]), np.concatenate([other[out], other[node]]), np.concatenate([first[to], word]), np.concatenate([other[to], np.full(len(ends), -1)])]
+        grams = [np.concatenate([first[out], first[node]]), np.concatenate([other[out], other[node]]), np.concatenate([first[to], word.astype(np.int32)]), np.concatenate([other[to], np.full(len(ends), -1, np.int32)])]
         return names[:-1], {4: (grams, np.concatenate([n_edges, n_ends])), 2: ([first, other], flow), 1: ([np.arange(base - 1)], words)}
 
     def packed(self, lang: str, buckets: int) -> Iterator[tuple]:
@@ -103,22 +108,29 @@ class Block:
         names, counted = self.counted()
         hashes = np.fromiter(map(zlib.crc32, names), np.uint64, len(names))
         text = pa.array([*names, b""], pa.binary())
-        for size, (grams, n) in counted.items():
+        for size in list(counted):
+            grams, n = counted.pop(size)
             mixed = np.zeros(len(n), np.uint64)
             for column in grams[:3]:
                 mixed = (mixed ^ hashes[column]) * _MIX
                 mixed ^= mixed >> np.uint64(29)
-            bucket = (mixed % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(2 * bucket + (n > 1), kind="stable")
-            bucket, n = bucket[order], n[order]
-            columns = [text.take(pa.array(np.where(c < 0, len(names), c)[order])) for c in grams]
-            lines = pc.binary_join_element_wise(*columns, b" ") if len(columns) > 1 else columns[0]
-            keys = np.flatnonzero(np.diff(bucket, prepend=-1))
-            often = np.searchsorted(2 * bucket + (n > 1), 2 * bucket[keys] + 1)
+            place = 2 * (mixed % np.uint64(buckets)).astype(np.int64) + (n > 1)
+            del mixed
+            order = np.argsort(place, kind="stable")
+            place, n = place[order], n[order]
+            keys = np.flatnonzero(np.diff(place >> 1, prepend=-1))
+            often = np.searchsorted(place, place[keys] | 1)
             bounds = np.append(np.stack([keys, often], 1).ravel(), len(n)).astype(np.int64)
-            blobs = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), lines), b"\n").to_pylist()
-            for i, key in enumerate(keys.tolist()):
-                yield lang, int(bucket[key]), size, blobs[2 * i], blobs[2 * i + 1], n[bounds[2 * i + 1] : bounds[2 * i + 2]].tolist()
+            i = 0
+            while i < len(keys):  # whole buckets of about JOINED_GRAMS at a time become text
+                to = max(i + 1, int(np.searchsorted(keys, keys[i] + JOINED_GRAMS)))
+                held = order[bounds[2 * i] : bounds[2 * to]]
+                columns = [text.take(pa.array(np.where(c[held] < 0, len(names), c[held]))) for c in grams]
+                lines = pc.binary_join_element_wise(*columns, b" ") if len(columns) > 1 else columns[0]
+                blobs = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds[2 * i : 2 * to + 1] - bounds[2 * i]), lines), b"\n").to_pylist()
+                for j in range(i, to):
+                    yield lang, int(place[keys[j]] >> 1), size, blobs[2 * (j - i)], blobs[2 * (j - i) + 1], n[bounds[2 * j + 1] : bounds[2 * j + 2]].tolist()
+                i = to
 
 
 def _pack(buckets: int, block_words: int):
