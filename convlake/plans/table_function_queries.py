@@ -49,7 +49,9 @@ def _recall(spark: SparkSession, d: str, arguments: str) -> DataFrame:
 
 
 def _rid(spark: SparkSession, d: str) -> str:
-    return archive(spark, d).where("conv = 3 AND idx = 2").first().rid
+    """The id of a message; where the archive has no such message, the empty one, which no piece has."""
+    found = archive(spark, d).where("conv = 3 AND idx = 2").select("rid").first()
+    return found.rid if found else ""
 
 
 @query("rc01_recall_id", f"WITH {_HEADS} SELECT 1 AS place, {_WHOLE} FROM heads WHERE rid = {_ID}")
