@@ -63,12 +63,15 @@ class Recall:
         return f"{self._whole('1')} FROM {self.name}_heads h WHERE h.rid = {self._id} AND {self.name}.mode IS NULL AND (h.conv = {self.name}.conv OR {self.name}.conv IS NULL)"
 
     def _around(self) -> str:
-        """Pieces up to `near` (1 to 6) messages away, or of the same message: an equi-join on the places."""
+        """Pieces up to `near` (1 to 6) messages away, or of the same message: an equi-join on the places. Without an id, around message `first`
+        of `conv`, whether or not a piece of it is there."""
         n = self.name
+        nothing_else = " AND ".join(f"{n}.{a} IS NULL" for a in ("id", "path", "query", "queries"))
         reach = f"CASE WHEN {n}.mode = 'siblings' THEN 0 ELSE least(6, greatest(1, {n}.near)) END"
         place = "row_number() OVER (PARTITION BY h.conv ORDER BY h.idx, h.rid)"
-        return f"""{self._whole(place)} FROM {n}_heads h JOIN (SELECT c, explode(sequence(i - r, i + r)) AS at FROM
-            (SELECT o.conv AS c, o.idx AS i, {reach} AS r FROM {n}_heads o WHERE o.rid = {self._id} AND {n}.mode IN ('neighbors', 'siblings'))) a ON h.conv = a.c AND h.idx = a.at"""
+        return f"""{self._whole(place)} FROM {n}_heads h LEFT SEMI JOIN (SELECT c, explode(sequence(i - r, i + r)) AS at FROM
+            (SELECT o.conv AS c, o.idx AS i, {reach} AS r FROM {n}_heads o WHERE o.rid = {self._id} UNION ALL SELECT {n}.conv, {n}.first - 1, {reach} WHERE {nothing_else} AND {n}.first IS NOT NULL)
+            WHERE {n}.mode IN ('neighbors', 'siblings')) a ON h.conv = a.c AND h.idx = a.at"""
 
     def _file(self) -> str:
         """Operations on a path, or on one that ends with the other, in order; mode 'first': the first write of each conversation."""
@@ -91,7 +94,7 @@ class Recall:
         wanted = f"transform({asked}, q -> slice(CASE WHEN size(filter({long}, w -> NOT w IN ({stop}))) > 0 THEN filter({long}, w -> NOT w IN ({stop})) ELSE {long} END, 1, {TERMS}))"
         role = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROLES.items())
         hits = f"""SELECT * FROM (SELECT t.rid, t.conv, t.idx, t.off, t.len, t.dl, g.n, g.avgdl, qn, size(words) AS n_terms, term, size(filter(toks, x -> x = term)) AS f
-            FROM (SELECT p.rid, p.conv, p.idx, p.off, p.len, {toks('p.passage')} AS toks, size({toks('p.passage')}) AS dl, {wanted} AS wanted FROM {n}_passages p WHERE {n}.id IS NULL AND {n}.path IS NULL) t
+            FROM (SELECT p.rid, p.conv, p.idx, p.off, p.len, {toks('p.passage')} AS toks, size({toks('p.passage')}) AS dl, {wanted} AS wanted FROM {n}_passages p WHERE {n}.id IS NULL AND {n}.path IS NULL AND ({n}.query IS NOT NULL OR {n}.queries IS NOT NULL)) t
             JOIN (SELECT count(*) AS n, avg(size({toks('p.passage')})) AS avgdl FROM {n}_passages p) g
             LATERAL VIEW posexplode(t.wanted) AS qn, words LATERAL VIEW explode(words) AS term) WHERE f > 0"""
         return f"""SELECT * FROM (WITH hits AS ({hits}) SELECT CAST(row_number() OVER (PARTITION BY one ORDER BY CASE WHEN by_time THEN message END, chosen) AS INT), {_HEAD}, a, b, n_chars, strong, score, same_text_in, text FROM (

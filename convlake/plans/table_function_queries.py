@@ -42,7 +42,7 @@ def _recall(spark: SparkSession, d: str, arguments: str) -> DataFrame:
     rows = archive(spark, d)
     tool = (F.col("role") == "assistant") & ((F.col("conv") + F.col("idx")) % 2 == 1)
     pieces = rows.withColumn("role", F.when(tool, F.lit("tool")).otherwise(F.col("role")))
-    Recall(pieces, file_ops(spark, d), rows.where("idx = 2").select("conv", F.col("idx").alias("cut_idx"))).register()
+    Recall(pieces, file_ops(spark, d), rows.select("conv").distinct().withColumn("cut_idx", F.lit(2))).register()
     found = spark.sql(f"SELECT * FROM recall({arguments})")
     shown = F.coalesce(F.array_join(F.transform("same_text_in", lambda m: m.cast("string")), ","), F.lit(""))
     return found.withColumn("same_text_in", shown)
@@ -61,7 +61,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rc01_recall_neighbors", f"WITH {_HEADS} SELECT row_number() OVER (ORDER BY idx)::INT AS place, {_WHOLE} FROM heads WHERE conv = 3 AND idx BETWEEN -1 AND 5")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _recall(spark, d, f"id => '{_rid(spark, d)}', mode => 'neighbors', near => 3")
+    rid = _rid(spark, d)
+    around = f"id => '{rid}'" if rid else "conv => 3, first => 3"
+    return _recall(spark, d, f"{around}, mode => 'neighbors', near => 3")
 
 
 _FILE = f"""WITH {_HEADS}, o AS (SELECT o.conv, (o.idx + 1)::INT AS message, op, path, failed, rid, seg, role, tokens, op = 'write' AND row_number() OVER (PARTITION BY o.conv, path, op ORDER BY o.idx) = 1 AS strong,
